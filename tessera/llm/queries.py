@@ -75,7 +75,7 @@ FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
     "op7_near_duplicates": f"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_BLANK}') AS w FROM documents),
 sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s FROM words
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words
 ), tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets WHERE len(s) > 0),
 rarity AS (SELECT t, count(*) AS c FROM tokens GROUP BY t),
 ranked AS (SELECT doc_id, n, t, row_number() OVER (PARTITION BY doc_id ORDER BY c, t) AS r FROM tokens JOIN rarity USING (t)),
