@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_pii, op03_quality, op04_urls, op05_decontaminate, op07_near, op09_language, op10_secrets
+from . import op01_pii, op02_mixing, op03_quality, op04_urls, op05_decontaminate, op06_substring, op07_near, op08_classifier, op09_language, op10_secrets
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_pii.find_personal(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02_mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_quality.quality(table(spark, sf_dir, "documents"))
 
@@ -25,10 +29,18 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("hits")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_substring.remove_repeats(table(spark, sf_dir, "documents")).drop("runs")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_language.languages(table(spark, sf_dir, "documents"))
 
@@ -37,7 +49,7 @@ def op10_secrets_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_quality_outliers, op4_url_rules, op5_decontaminate, op7_near_duplicates, op9_language, op10_secrets_scan)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_quality_outliers, op4_url_rules, op5_decontaminate, op6_substrings, op7_near_duplicates, op8_quality_votes, op9_language, op10_secrets_scan)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -71,6 +83,15 @@ found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+""",
+    "op6_substrings": f"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_BLANK}') AS w FROM documents),
+windows AS (SELECT doc_id, i, w[i : i + 12] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)),
+low AS (SELECT x, min(doc_id) AS m FROM windows GROUP BY x HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM windows JOIN low USING (x) WHERE doc_id > m),
+lists AS (SELECT doc_id, list(j) AS g FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, w, g, CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda v, k: NOT list_contains(g, k)) END AS r FROM words LEFT JOIN lists USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed, sha256(array_to_string(r, ' ')) AS kept_sha256 FROM kept
 """,
     "op7_near_duplicates": f"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_BLANK}') AS w FROM documents),
