@@ -180,7 +180,7 @@ def _rows(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
 def _leaves_out(size: int, bits: int, buckets: int):
     """Step 2, chunk side."""
 
-    def run(key, docs: pa.Table) -> pa.Table:
+    def run(key, docs):
         values = Chunk(docs, size).fingerprints(bits)
         cut = _bucket_cuts(values, bits, buckets)
         rows = [(b, key[0].as_py(), pack(values[cut[b] : cut[b + 1]])) for b in range(buckets) if cut[b + 1] > cut[b]]
@@ -189,7 +189,7 @@ def _leaves_out(size: int, bits: int, buckets: int):
     return run
 
 
-def _shared(key, entries: pa.Table) -> pa.Table:
+def _shared(key, entries):
     """Step 2, bucket side: a bit for each fingerprint of each chunk, set if another chunk has it."""
     chunks = entries["chunk"].to_pylist()
     values = [unpack(x) for x in entries["blob"].to_pylist()]
@@ -207,7 +207,7 @@ def _shared(key, entries: pa.Table) -> pa.Table:
 def _to_trees(size: int, bits: int, buckets: int, prefixes: Prefixes):
     """Step 3, chunk side."""
 
-    def run(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(key, docs, answers):
         schema = {"group": pa.int32(), "chunk": pa.int64(), "upper": pa.binary(), "full": pa.binary(), "ids": pa.binary()}
         if not docs.num_rows or not answers.num_rows:
             return _rows(schema, [])
@@ -245,7 +245,7 @@ def subtree_depths(upper: np.ndarray, full: np.ndarray, size: int) -> np.ndarray
 def _subtrees(size: int):
     """Step 3, group side: below each node of depth ``size``, all leaves but those of the smallest doc_id."""
 
-    def run(key, entries: pa.Table) -> pa.Table:
+    def run(key, entries):
         upper = [unpack(x) for x in entries["upper"].to_pylist()]
         full = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in entries["full"].to_pylist()])
         ids = np.concatenate([unpack_ids(x) for x in entries["ids"].to_pylist()])
@@ -268,7 +268,7 @@ def _subtrees(size: int):
 def _remove(size: int):
     """Step 4."""
 
-    def run(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(key, docs, answers):
         schema = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "runs": pa.string()}
         if not docs.num_rows:
             return _rows(schema, [])
