@@ -29,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
@@ -43,6 +43,7 @@ _HASHES = TREES * DEPTH
 _MISMATCHES = 37
 #: Candidates that a class keeps in one order: all of a few, else the most alike.
 _FEW, _BEST = 5, 3
+_SLOTS = 1 << 24
 
 
 @lru_cache(maxsize=1)
@@ -197,6 +198,32 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), _similar(percent), f"a {kind}, b {kind}")
 
 
+def _slot(c: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(29), c), F.lit(_SLOTS))
+
+
+def _sets_of(documents: DataFrame, ends: DataFrame, k: int) -> DataFrame:
+    """(id, s): the full sets of the documents in ends (a), as hashes.
+
+    A bit table of fixed size (``_SLOTS`` bits, 2 MB) tells most other documents away before
+    their texts are touched, so only sets that are wanted are shuffled; the join decides.
+    """
+    bits = ends.select(_slot("a").alias("slot")).select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1L, CAST(slot & 31 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^19 rows at most
+    table = np.zeros(_SLOTS // 32, dtype=np.uint32)
+    table[bits["word"].to_numpy()] = bits["bits"].to_numpy().astype(np.uint32)
+    wanted = documents.sparkSession.sparkContext.broadcast(table)
+
+    def work(batch: pa.RecordBatch):
+        slot = batch.column("slot").to_numpy()
+        keep = pa.array((wanted.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1)
+        batch = batch.filter(keep)
+        for lo, hi, data, offsets in vec.slices(batch.column("text")):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([s.tobytes() for s in shingle_sets(data, offsets, k)], pa.binary())], ["id", "s"])
+
+    rows = documents.where("doc_id is not null").select("doc_id", "text", _slot("doc_id").alias("slot"))
+    return map_arrow(rows, work, "id long, s binary").dropDuplicates(["id"]).join(ends.toDF("id"), "id", "left_semi")
+
+
 def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row; doc_id must be an integer."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -208,13 +235,7 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = trees.repartitionByRange(parts, "tree", "key", "salt").sortWithinPartitions("tree", "key", "salt")
     pairs = stash(ordered.mapInArrow(_neighbours, "a long, b long, miss int").where("a <> b").groupBy("a", "b").agg(F.min("miss").alias("miss")), "pairs")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-
-    def sets(batch: pa.RecordBatch):
-        for lo, hi, data, offsets in vec.slices(batch.column("text")):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([s.tobytes() for s in shingle_sets(data, offsets, k)], pa.binary())], ["id", "s"])
-
-    held = stash(map_arrow(documents.join(ends, "doc_id", "left_semi"), sets, "id long, s binary").dropDuplicates(["id"]), "sets")
+    held = stash(_sets_of(documents, pairs.select("a").union(pairs.select("b")).distinct(), k), "sets")
     both = pairs.select("a", "b", "miss", F.col("a").alias("of")).union(pairs.select("a", "b", "miss", F.col("b").alias("of")))
     first = both.groupBy("of").agg(F.min(F.struct("miss", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
     links = stash(_confirm(first, held, percent), "links")
