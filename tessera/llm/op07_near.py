@@ -36,7 +36,7 @@ from . import vec
 from .common import map_arrow, stash
 from .graph import components
 
-WORDS, PERCENT = 2, 80
+WORDS, PERCENT = 5, 80
 TREES, DEPTH, LEAST_DEPTH, REACH = 16, 8, 2, 64
 _HASHES = TREES * DEPTH
 #: Of 128 two-bit fields 19.2 differ at similarity 0.8, with deviation 4.04; 4.5 deviations more are let through.
@@ -251,7 +251,7 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(documents: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
+def keep_one(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents but those that have a near-duplicate of smaller doc_id in their group; all columns stay."""
     gone = near_duplicates(documents, k, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     return documents.join(gone, documents["doc_id"].cast("long") == gone["gone"], "left_anti").select(*(documents[c] for c in documents.columns))

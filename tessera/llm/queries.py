@@ -34,7 +34,7 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op07_near.near_duplicates(table(spark, sf_dir, "documents"))
+    return op07_near.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
 def op8_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
