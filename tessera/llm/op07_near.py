@@ -247,7 +247,7 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT
         labels = components(links.union(more))
     of_class = classes.join(labels.toDF("id", "label"), "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("component"))
     joined = signed.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
