@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import similarity as sim
 from tessera.sources.tsv import source_of
+from tessera.storage import stash
 
 
 def _by_s1():
@@ -64,8 +65,9 @@ def cap_per_source(rows: DataFrame, max_per_source: int = 3, order: str = "rank"
 
 
 def decide(scores: DataFrame, names: DataFrame, gate: float = 0.58, sibling: float = 0.38, margin: float = 0.22, max_per_source: int = 3) -> DataFrame:
-    """Scores to matches: (s1_id, t_id, rank, pb)."""
-    ranked = truncate(boost(gate_and_margin(scores, gate, sibling, margin), names), max_per_source)
+    """Scores to matches: (s1_id, t_id, rank, pb). Passing and ranked pairs, a few per entity, are used several times and hence written."""
+    passing = stash(gate_and_margin(scores, gate, sibling, margin), "passing")
+    ranked = stash(truncate(boost(passing, names), max_per_source), "ranked")
     return cap_per_source(owned(ranked), max_per_source)
 
 

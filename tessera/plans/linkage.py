@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import blocking, decide, features, scoring, training
 from tessera.operators.normalize import normalized, prepared
+from tessera.storage import stash
 
 
 @dataclass(frozen=True)
@@ -39,8 +40,8 @@ def linear_scores(s1: DataFrame, targets: DataFrame, candidates: DataFrame, prun
 
 def predict(s1_records: DataFrame, target_records: DataFrame, k: int = 6, thresholds: Thresholds = Thresholds(), model=None) -> tuple[DataFrame, DataFrame]:
     """(candidates, matches): candidates before pruning, matches after all decisions."""
-    s1, targets = normalized(s1_records), normalized(target_records)
-    found = candidate_pairs(s1, targets, k)
+    s1, targets = stash(normalized(s1_records), "s1"), stash(normalized(target_records), "targets")
+    found = stash(candidate_pairs(s1, targets, k), "candidates")
     if model is None:
         scores = linear_scores(s1, targets, found)
     else:
@@ -51,18 +52,18 @@ def predict(s1_records: DataFrame, target_records: DataFrame, k: int = 6, thresh
 
 def predict_hybrid(s1_records: DataFrame, target_records: DataFrame, vectors: tuple[DataFrame, DataFrame], k: int = 35, thresholds: Thresholds = Thresholds(), model=None) -> tuple[DataFrame, DataFrame]:
     """The variant that asks name vectors about uncertain entities; no boost, no claims."""
-    s1, targets = normalized(s1_records), normalized(target_records)
-    found = candidate_pairs(s1, targets, k)
+    s1, targets = stash(normalized(s1_records), "s1"), stash(normalized(target_records), "targets")
+    found = stash(candidate_pairs(s1, targets, k), "candidates")
     scores = linear_scores(s1, targets, found, prune=False, profile="canonical") if model is None else scoring.trees(pair_features(s1, targets, found), model)
     return found, decide.decide_hybrid(scoring.blend(scores, vectors), thresholds.gate, thresholds.sibling, thresholds.margin, thresholds.max_per_source)
 
 
 def train(s1_records: DataFrame, target_records: DataFrame, truth: DataFrame, k: int = 35, points: list | None = None, ceiling: int = 3_000_000, **params):
     """(model, thresholds): trees fitted on mined pairs of the training split, thresholds searched on the rest."""
-    s1, targets = normalized(s1_records), normalized(target_records)
+    s1, targets = stash(normalized(s1_records), "s1"), stash(normalized(target_records), "targets")
     learn, check = training.split(s1, "id")
     edges = truth.select("s1_id", F.explode("matched").alias("t_id"))
-    found = candidate_pairs(s1, targets, k)
+    found = stash(candidate_pairs(s1, targets, k), "candidates")
     mined = training.training_pairs(edges, found.join(learn.select(F.col("id").alias("s1_id")), "s1_id", "left_semi"), learn, targets, ceiling=ceiling)
     rows = pair_features(learn, targets, mined.withColumn("cand_rank", F.lit(1)))
     model = scoring.fit_trees(rows.join(mined, ["s1_id", "t_id"]), **params)

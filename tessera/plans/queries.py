@@ -13,6 +13,7 @@ from tessera.operators import blocking, decide, evaluate, features, scoring, tra
 from tessera.operators.normalize import normalized, prepared
 from tessera.sources import tsv
 from tessera.sources.world import truth, world
+from tessera.storage import stash
 
 from . import linkage, oracle as o
 
@@ -36,7 +37,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _entities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s1, targets = world(spark, d)
-    return normalized(s1), normalized(targets)
+    return stash(normalized(s1), "s1"), stash(normalized(targets), "targets")
 
 
 def _pairs(spark: SparkSession, d: str, k: int = 6) -> DataFrame:
@@ -361,12 +362,12 @@ def gate_margin_constant(spark, d):
 @query(f"WITH {o.boosted(_S)} SELECT s1_id, t_id, round(pb, 9) AS pb FROM boosted")
 def agreement_boost(spark, d):
     scores, names = _scores(spark, d)
-    return decide.boost(decide.gate_and_margin(scores), names).select("s1_id", "t_id", "pb")
+    return decide.boost(stash(decide.gate_and_margin(scores), "passing"), names).select("s1_id", "t_id", "pb")
 
 
 def _ranked(spark, d):
     scores, names = _scores(spark, d)
-    return decide.truncate(decide.boost(decide.gate_and_margin(scores), names))
+    return stash(decide.truncate(decide.boost(stash(decide.gate_and_margin(scores), "passing"), names)), "ranked")
 
 
 @query(f"WITH {o.boosted(_S)} SELECT t_id, owner FROM owners")
