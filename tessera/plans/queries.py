@@ -429,7 +429,7 @@ def macro_f05(spark, d):
     return evaluate.macro_f05(truth(spark, d), per_source_cap(spark, d)).withColumn("macro_f05", F.round("macro_f05", 6))
 
 
-@query(f"WITH {o.boosted(_S)} SELECT count(*) AS entities, count_if(n IS NULL) AS singletons, round(100.0 * count_if(n IS NULL) / count(*), 6) AS singleton_percent, CAST(coalesce(sum(n), 0) AS BIGINT) AS matches FROM s1 LEFT JOIN (SELECT s1_id, count(*) AS n FROM matches GROUP BY s1_id) x ON x.s1_id = s1.entity_id")
+@query(f"WITH {o.boosted(_S)} SELECT count(*) AS entities, CAST(count_if(n IS NULL) AS BIGINT) AS singletons, round(100.0 * count_if(n IS NULL) / count(*), 6) AS singleton_percent, CAST(coalesce(sum(n), 0) AS BIGINT) AS matches FROM s1 LEFT JOIN (SELECT s1_id, count(*) AS n FROM matches GROUP BY s1_id) x ON x.s1_id = s1.entity_id")
 def run_summary(spark, d):
     return evaluate.summary(world(spark, d)[0], per_source_cap(spark, d)).withColumn("singleton_percent", F.round("singleton_percent", 6))
 
@@ -439,7 +439,7 @@ c AS (SELECT s1_id, count(*) AS n_cand FROM cand GROUP BY s1_id),
 x AS (SELECT s1.entity_id, coalesce(n_true, 0) AS n_true, coalesce(n_hit, 0) AS n_hit, coalesce(n_cand, 0) AS n_cand FROM s1 LEFT JOIN hits ON hits.s1_id = s1.entity_id LEFT JOIN c ON c.s1_id = s1.entity_id)
 SELECT CAST(sum(n_true) AS BIGINT) AS pairs, CAST(sum(n_hit) AS BIGINT) AS recalled, round(CAST(sum(n_hit) AS DOUBLE) / sum(n_true), 6) AS pair_recall,
  round(CAST(count_if(n_hit > 0) AS DOUBLE) / count_if(n_true > 0), 6) AS entity_any_recall, round(CAST(count_if(n_true > 0 AND n_hit = n_true) AS DOUBLE) / count_if(n_true > 0), 6) AS entity_full_recall,
- round(avg(n_cand), 6) AS avg_candidates, count_if(n_cand = 0) AS zero_candidates, round(100.0 * count_if(n_cand = 0) / count(*), 6) AS zero_percent,
+ round(avg(n_cand), 6) AS avg_candidates, CAST(count_if(n_cand = 0) AS BIGINT) AS zero_candidates, round(100.0 * count_if(n_cand = 0) / count(*), 6) AS zero_percent,
  round(1 - avg(n_cand) / (SELECT count(*) FROM targets), 6) AS reduction_ratio, CAST(sum(n_hit) AS DOUBLE) / sum(n_true) >= 0.97 AS passes FROM x""")
 def blocking_recall_audit(spark, d):
     out = evaluate.blocking_audit(truth(spark, d), candidates_topk(spark, d), world(spark, d)[1].count())
