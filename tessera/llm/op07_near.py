@@ -14,6 +14,11 @@ of the confirmed links are found; then every remaining candidate link between di
 is checked, and the components are found again.  Links inside a component need no check, so a
 group of n copies costs some n links and never n squared.
 
+Where a window was cut (more candidates than are kept, or more predecessors than ``REACH``), the
+classes on both sides are marked and sorted again, in the same orders and in ``TREES`` more that
+regroup the min-hashes.  This time every candidate in a window counts, but for those of the same
+component, so what the first round left out is checked as well.
+
 Orders are dealt by range over (tree, key, hash of the id): equal keys of a large group spread over
 partitions.  A pair cut apart by a partition border in one order meets in others.
 
@@ -44,6 +49,7 @@ _MISMATCHES = 37
 #: Candidates that a class keeps in one order: all of a few, else the most alike.
 _FEW, _BEST = 5, 3
 _SLOTS = 1 << 24
+_PAIR = "a long, b long, miss int"
 
 
 @lru_cache(maxsize=1)
@@ -114,29 +120,29 @@ def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), dtype=kind).reshape(len(column), width)
 
 
-def _orders(batch: pa.RecordBatch):
-    """One row for each tree: (tree, key, salt, id, sketch)."""
+def _orders(batch: pa.RecordBatch, turned: bool = False):
+    """One row for each tree: (tree, key, salt, id, label, sketch); ``turned`` adds the trees of regrouped min-hashes."""
     n = batch.num_rows
-    keys = _matrix(batch.column("keys"), "u1", 2 * _HASHES).reshape(n, TREES, 2 * DEPTH)
-    for t in range(TREES):
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, dtype=np.int32)), _binary(keys[:, t]), batch.column("salt"), batch.column("id"), batch.column("sketch")], ["tree", "key", "salt", "id", "sketch"])
+    keys = _matrix(batch.column("keys"), "u1", 2 * _HASHES).reshape(n, _HASHES, 2)
+    names = ["salt", "id", "label", "sketch"]
+    for t in range(2 * TREES if turned else TREES):
+        key = keys[:, t * DEPTH : (t + 1) * DEPTH] if t < TREES else keys[:, t - TREES :: TREES]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, dtype=np.int32)), _binary(key.reshape(n, 2 * DEPTH)), *(batch.column(c) for c in names)], ["tree", "key", *names])
 
 
-def _neighbours(batches):
-    """Candidates within each sorted run: (a, b, differing fields of the sketches)."""
+def _windows(batches):
+    """For each run of sorted rows: (ids, labels, row and predecessor of each candidate, differing fields of the sketches, rows with a full window)."""
     held: tuple | None = None
     low = vec.U64(0x5555555555555555)
     for batch in batches:
         if not batch.num_rows:
             continue
-        tree = batch.column("tree").to_numpy()
-        key = _matrix(batch.column("key"), ">u2", DEPTH)
-        ids = batch.column("id").to_numpy()
-        sketch = _matrix(batch.column("sketch"), "<u8", _HASHES // 32)
+        run = (batch.column("tree").to_numpy(), _matrix(batch.column("key"), ">u2", DEPTH), batch.column("id").to_numpy(), batch.column("label").to_numpy(), _matrix(batch.column("sketch"), "<u8", _HASHES // 32))
         old = 0
         if held is not None:
             old = len(held[0])
-            tree, key, ids, sketch = (np.concatenate([x, y]) for x, y in zip(held, (tree, key, ids, sketch), strict=True))
+            run = tuple(np.concatenate([x, y]) for x, y in zip(held, run, strict=True))
+        tree, key, ids, labels, sketch = run
         n = len(ids)
         same = np.cumprod(key[1:] == key[:-1], axis=1).sum(axis=1)
         step = np.r_[0, np.where(tree[1:] == tree[:-1], same, 0)]
@@ -157,20 +163,44 @@ def _neighbours(batches):
             rows.append(at[ok])
             froms.append(at[ok] - back)
             far.append(miss[ok].astype(np.int32))
-        held = tuple(x[-REACH:].copy() for x in (tree, key, ids, sketch))
-        if not rows:
-            continue
-        r, f, m = np.concatenate(rows), np.concatenate(froms), np.concatenate(far)
+        held = tuple(x[-REACH:].copy() for x in run)
+        if rows:
+            yield ids, labels, np.concatenate(rows), np.concatenate(froms), np.concatenate(far), at
+
+
+def _candidates(a: np.ndarray, b: np.ndarray, miss: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(miss.astype(np.int32))], ["a", "b", "miss"])
+
+
+def _neighbours(batches):
+    """The most alike candidates within each sorted run: (a, b, differing fields), and (id, id, -1) of the classes of a cut window."""
+    for ids, _, r, f, m, full in _windows(batches):
         order = np.lexsort((-f, m, r))
         r, f, m = r[order], f[order], m[order]
-        if not len(r):
-            continue
-        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else r
         many = np.diff(np.r_[first, len(r)])
         rank = np.arange(len(r)) - np.repeat(first, many)
-        keep = rank < np.where(np.repeat(many, many) <= _FEW, _FEW, _BEST)
-        a, b = ids[r[keep]], ids[f[keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(m[keep])], ["a", "b", "miss"])
+        more = np.repeat(many, many) > _FEW
+        keep = rank < np.where(more, _BEST, _FEW)
+        yield _candidates(ids[r[keep]], ids[f[keep]], m[keep])
+        # any two rows of a region that no window holds are both marked: one is full, the other REACH before a full one
+        cut = np.unique(ids[np.concatenate([r[more], f[more], full, full - REACH])])
+        yield _candidates(cut, cut, np.full(len(cut), -1))
+
+
+def _others(batches):
+    """All candidates of other components within each sorted run."""
+    for ids, labels, r, f, m, _ in _windows(batches):
+        keep = labels[r] != labels[f]
+        yield _candidates(ids[r[keep]], ids[f[keep]], m[keep])
+
+
+def _sorted(classes: DataFrame, turned: bool) -> DataFrame:
+    """The orders of classes (id, label, keys, sketch), dealt by range."""
+    rows = classes.select("id", "label", F.xxhash64("id").alias("salt"), "keys", "sketch")
+    trees = map_arrow(rows, lambda batch: _orders(batch, turned), "tree int, key binary, salt long, id long, label long, sketch binary")
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return trees.repartitionByRange(parts, "tree", "key", "salt").sortWithinPartitions("tree", "key", "salt")
 
 
 def _similar(percent: int):
@@ -198,6 +228,10 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), _similar(percent), f"a {kind}, b {kind}")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a").union(pairs.select("b")).distinct()
+
+
 def _slot(c: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(29), c), F.lit(_SLOTS))
 
@@ -230,12 +264,10 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT
     signed = stash(sign(documents, k), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stash(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
-    only = full.join(classes, ["k1", "k2"]).where("doc_id = id").select("id", F.xxhash64("id").alias("salt"), "keys", "sketch")
-    trees = map_arrow(only, _orders, "tree int, key binary, salt long, id long, sketch binary")
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = trees.repartitionByRange(parts, "tree", "key", "salt").sortWithinPartitions("tree", "key", "salt")
-    pairs = stash(ordered.mapInArrow(_neighbours, "a long, b long, miss int").where("a <> b").groupBy("a", "b").agg(F.min("miss").alias("miss")), "pairs")
-    held = stash(_sets_of(documents, pairs.select("a").union(pairs.select("b")).distinct(), k), "sets")
+    only = full.join(classes, ["k1", "k2"]).where("doc_id = id").select("id", F.col("id").alias("label"), "keys", "sketch")
+    found = stash(_sorted(only, False).mapInArrow(_neighbours, _PAIR).groupBy("a", "b").agg(F.min("miss").alias("miss")), "pairs")
+    pairs, dense = found.where("a <> b"), found.where("miss < 0").select(F.col("a").alias("id"))
+    held = stash(_sets_of(documents, _ends(pairs), k), "sets")
     both = pairs.select("a", "b", "miss", F.col("a").alias("of")).union(pairs.select("a", "b", "miss", F.col("b").alias("of")))
     first = both.groupBy("of").agg(F.min(F.struct("miss", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
     links = stash(_confirm(first, held, percent), "links")
@@ -244,7 +276,18 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT
     rest = pairs.join(la, "a", "left").join(lb, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").join(first, ["a", "b"], "left_anti")
     more = stash(_confirm(rest, held, percent), "links")
     if not more.isEmpty():
-        labels = components(links.union(more))
+        links = links.union(more)
+        labels = components(links)
+    if not dense.isEmpty():
+        again = only.drop("label").join(dense, "id", "left_semi").join(labels.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        others = _sorted(again, True).mapInArrow(_others, _PAIR).select("a", "b").distinct()
+        others = stash(others.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        missing = _ends(others).join(held.select(F.col("id").alias("a")), "a", "left_anti")
+        if not missing.isEmpty():
+            held = held.union(stash(_sets_of(documents, missing, k), "sets"))
+        more = stash(_confirm(others, held, percent), "links")
+        if not more.isEmpty():
+            labels = components(links.union(more))
     of_class = classes.join(labels.toDF("id", "label"), "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("component"))
     joined = signed.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))

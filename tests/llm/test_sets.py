@@ -1,6 +1,7 @@
 """Near-duplicates, substrings and decontamination against plain Python."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import pytest
@@ -63,6 +64,22 @@ def test_a_large_group_is_one_component(spark):
     assert {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_borderline_families_lose_no_link(spark, seed):
+    """Many texts of one template about as alike as the threshold: windows are cut, most candidates are no links."""
+    draw = random.Random(seed)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(500):
+        w = list(base)
+        for at in draw.sample(range(80), draw.randint(4, 14)):
+            w[at] = f"x{draw.randrange(40)}"
+        texts.append((3 * i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 2).collect()}
+    want = plain_components(texts, 2)
+    assert len({c for _, c in want.values()}) > 20 and got == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7), (200, 201), (201, 202), (202, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
