@@ -17,7 +17,10 @@ group of n copies costs some n links and never n squared.
 Where a window was cut (more candidates than are kept, or more predecessors than ``REACH``), the
 classes on both sides are marked and sorted again, in the same orders and in ``TREES`` more that
 regroup the min-hashes.  This time every candidate in a window counts, but for those of the same
-component, so what the first round left out is checked as well.
+component, so what the first round left out is checked as well.  Before their full sets are read,
+such candidates are held to a bound that loses nothing: the parities of a set's shingles in
+``_PARITY`` buckets differ in no more buckets than the sets differ in shingles, and sets that are
+alike enough differ in few.
 
 Orders are dealt by range over (tree, key, hash of the id): equal keys of a large group spread over
 partitions.  A pair cut apart by a partition border in one order meets in others.
@@ -49,6 +52,7 @@ _MISMATCHES = 37
 #: Candidates that a class keeps in one order: all of a few, else the most alike.
 _FEW, _BEST = 5, 3
 _SLOTS = 1 << 24
+_PARITY = 1024
 _PAIR = "a long, b long, miss int"
 
 
@@ -85,7 +89,7 @@ def _minima(s: np.ndarray) -> np.ndarray:
 
 
 def sign(documents: DataFrame, k: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, keys, sketch): set size, 128-bit set key, sort keys and sketch."""
+    """(doc_id, n_shingles, k1, k2, keys, sketch, parity): set size, 128-bit set key, sort keys, sketch and bucket parities."""
 
     def work(batch: pa.RecordBatch):
         for lo, hi, data, offsets in vec.slices(batch.column("text")):
@@ -93,20 +97,23 @@ def sign(documents: DataFrame, k: int = WORDS) -> DataFrame:
             n = np.array([len(s) for s in sets], dtype=np.int64)
             key = np.zeros((hi - lo, 2), dtype=vec.U64)
             best = np.zeros((hi - lo, _HASHES), dtype=np.uint32)
+            parity = np.zeros((hi - lo, _PARITY // 8), dtype=np.uint8)
             for i, s in enumerate(sets):
                 if len(s):
                     key[i] = vec.mix(s ^ vec.U64(0x6A09E667F3BCC909)).sum(), vec.mix(s ^ vec.U64(0xBB67AE8584CAA73B)).sum()
                     best[i] = _minima(s)
+                    bucket = (vec.mix(s ^ vec.U64(0x3C6EF372FE94F82B)) % vec.U64(_PARITY)).astype(np.int64)
+                    parity[i] = np.packbits((np.bincount(bucket, minlength=_PARITY) & 1).astype(bool))
             high = ((best * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(">u2")
             two = ((best * np.uint32(0x85EBCA6B)) >> np.uint32(30)).astype(np.uint8).reshape(hi - lo, _HASHES // 4, 4)
             packed = (two[:, :, 0] | two[:, :, 1] << 2 | two[:, :, 2] << 4 | two[:, :, 3] << 6).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)), _binary(high), _binary(packed)],
-                ["doc_id", "n_shingles", "k1", "k2", "keys", "sketch"],
+                [batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)), _binary(high), _binary(packed), _binary(parity)],
+                ["doc_id", "n_shingles", "k1", "k2", "keys", "sketch", "parity"],
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_arrow(documents.select("doc_id", "text"), work, f"doc_id {kind}, n_shingles long, k1 long, k2 long, keys binary, sketch binary")
+    return map_arrow(documents.select("doc_id", "text"), work, f"doc_id {kind}, n_shingles long, k1 long, k2 long, keys binary, sketch binary, parity binary")
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -124,26 +131,28 @@ def _orders(batch: pa.RecordBatch, turned: bool = False):
     """One row for each tree: (tree, key, salt, id, label, sketch); ``turned`` adds the trees of regrouped min-hashes."""
     n = batch.num_rows
     keys = _matrix(batch.column("keys"), "u1", 2 * _HASHES).reshape(n, _HASHES, 2)
-    names = ["salt", "id", "label", "sketch"]
+    names = ["salt", "id", "label", "sketch", *(["n_shingles", "parity"] if turned else [])]
     for t in range(2 * TREES if turned else TREES):
         key = keys[:, t * DEPTH : (t + 1) * DEPTH] if t < TREES else keys[:, t - TREES :: TREES]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, dtype=np.int32)), _binary(key.reshape(n, 2 * DEPTH)), *(batch.column(c) for c in names)], ["tree", "key", *names])
 
 
 def _windows(batches):
-    """For each run of sorted rows: (ids, labels, row and predecessor of each candidate, differing fields of the sketches, rows with a full window)."""
+    """For each run of sorted rows: (its columns, row and predecessor of each candidate, differing fields of the sketches, rows with a full window)."""
     held: tuple | None = None
     low = vec.U64(0x5555555555555555)
     for batch in batches:
         if not batch.num_rows:
             continue
         run = (batch.column("tree").to_numpy(), _matrix(batch.column("key"), ">u2", DEPTH), batch.column("id").to_numpy(), batch.column("label").to_numpy(), _matrix(batch.column("sketch"), "<u8", _HASHES // 32))
+        if "parity" in batch.schema.names:
+            run += (batch.column("n_shingles").to_numpy(), _matrix(batch.column("parity"), "<u8", _PARITY // 64))
         old = 0
         if held is not None:
             old = len(held[0])
             run = tuple(np.concatenate([x, y]) for x, y in zip(held, run, strict=True))
-        tree, key, ids, labels, sketch = run
-        n = len(ids)
+        tree, key, _, _, sketch = run[:5]
+        n = len(tree)
         same = np.cumprod(key[1:] == key[:-1], axis=1).sum(axis=1)
         step = np.r_[0, np.where(tree[1:] == tree[:-1], same, 0)]
         at = np.arange(old, n)
@@ -165,7 +174,7 @@ def _windows(batches):
             far.append(miss[ok].astype(np.int32))
         held = tuple(x[-REACH:].copy() for x in run)
         if rows:
-            yield ids, labels, np.concatenate(rows), np.concatenate(froms), np.concatenate(far), at
+            yield run, np.concatenate(rows), np.concatenate(froms), np.concatenate(far), at
 
 
 def _candidates(a: np.ndarray, b: np.ndarray, miss: np.ndarray) -> pa.RecordBatch:
@@ -174,7 +183,7 @@ def _candidates(a: np.ndarray, b: np.ndarray, miss: np.ndarray) -> pa.RecordBatc
 
 def _neighbours(batches):
     """The most alike candidates within each sorted run: (a, b, differing fields), and (id, id, -1) of the classes of a cut window."""
-    for ids, _, r, f, m, full in _windows(batches):
+    for (_, _, ids, *_), r, f, m, full in _windows(batches):
         order = np.lexsort((-f, m, r))
         r, f, m = r[order], f[order], m[order]
         first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else r
@@ -188,17 +197,31 @@ def _neighbours(batches):
         yield _candidates(cut, cut, np.full(len(cut), -1))
 
 
-def _others(batches):
-    """All candidates of other components within each sorted run."""
-    for ids, labels, r, f, m, _ in _windows(batches):
-        keep = labels[r] != labels[f]
-        yield _candidates(ids[r[keep]], ids[f[keep]], m[keep])
+def _others(percent: int):
+    """All candidates of other components within each sorted run that may be alike enough.
+
+    Sets of n and n' shingles that differ in d have similarity (n + n' - d) / (n + n' + d).
+    """
+
+    def work(batches):
+        for (_, _, ids, labels, _, size, parity), r, f, m, _ in _windows(batches):
+            keep = labels[r] != labels[f]
+            r, f, m = r[keep], f[keep], m[keep]
+            ok = np.zeros(len(r), dtype=bool)
+            for lo in range(0, len(r), 1 << 16):
+                x, y = r[lo : lo + (1 << 16)], f[lo : lo + (1 << 16)]
+                differ = np.maximum(np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64), np.abs(size[x] - size[y]))
+                ok[lo : lo + (1 << 16)] = differ * (100 + percent) <= (size[x] + size[y]) * (100 - percent)
+            yield _candidates(ids[r[ok]], ids[f[ok]], m[ok])
+
+    return work
 
 
 def _sorted(classes: DataFrame, turned: bool) -> DataFrame:
-    """The orders of classes (id, label, keys, sketch), dealt by range."""
-    rows = classes.select("id", "label", F.xxhash64("id").alias("salt"), "keys", "sketch")
-    trees = map_arrow(rows, lambda batch: _orders(batch, turned), "tree int, key binary, salt long, id long, label long, sketch binary")
+    """The orders of classes (id, label, keys, sketch; n_shingles and parity if turned), dealt by range."""
+    extra = ["n_shingles", "parity"] if turned else []
+    rows = classes.select("id", "label", F.xxhash64("id").alias("salt"), "keys", "sketch", *extra)
+    trees = map_arrow(rows, lambda batch: _orders(batch, turned), "tree int, key binary, salt long, id long, label long, sketch binary" + (", n_shingles long, parity binary" if turned else ""))
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return trees.repartitionByRange(parts, "tree", "key", "salt").sortWithinPartitions("tree", "key", "salt")
 
@@ -264,7 +287,7 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT
     signed = stash(sign(documents, k), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stash(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
-    only = full.join(classes, ["k1", "k2"]).where("doc_id = id").select("id", F.col("id").alias("label"), "keys", "sketch")
+    only = full.join(classes, ["k1", "k2"]).where("doc_id = id").select("id", F.col("id").alias("label"), "keys", "sketch", "n_shingles", "parity")
     found = stash(_sorted(only, False).mapInArrow(_neighbours, _PAIR).groupBy("a", "b").agg(F.min("miss").alias("miss")), "pairs")
     pairs, dense = found.where("a <> b"), found.where("miss < 0").select(F.col("a").alias("id"))
     held = stash(_sets_of(documents, _ends(pairs), k), "sets")
@@ -280,7 +303,7 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT
         labels = components(links)
     if not dense.isEmpty():
         again = only.drop("label").join(dense, "id", "left_semi").join(labels.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        others = _sorted(again, True).mapInArrow(_others, _PAIR).select("a", "b").distinct()
+        others = _sorted(again, True).mapInArrow(_others(percent), _PAIR).select("a", "b").distinct()
         others = stash(others.join(pairs, ["a", "b"], "left_anti"), "pairs")
         missing = _ends(others).join(held.select(F.col("id").alias("a")), "a", "left_anti")
         if not missing.isEmpty():
