@@ -14,16 +14,17 @@ of the confirmed links are found; then every remaining candidate link between di
 is checked, and the components are found again.  Links inside a component need no check, so a
 group of n copies costs some n links and never n squared.
 
-Where a window was cut (more candidates than are kept, or more predecessors than ``REACH``), the
-classes on both sides are marked and sorted again, in the same orders and in ``TREES`` more that
-regroup the min-hashes.  This time every candidate in a window counts, but for those of the same
-component, so what the first round left out is checked as well.  Before their full sets are read,
-such candidates are held to a bound that loses nothing: the parities of a set's shingles in
-``_PARITY`` buckets differ in no more buckets than the sets differ in shingles, and sets that are
-alike enough differ in few.
+Where a window was cut (more candidates than are kept, more predecessors than ``REACH``, or a border
+of a partition), the classes on both sides are marked, and all marked classes of different components
+are joined exactly.  Shingles are ordered by how often the marked classes hold them, rarest first;
+sets that are alike enough share a shingle among the first of each, and at the first they share both
+have enough left.  Pairs that meet are held to a further bound that loses nothing: the parities of a
+set's shingles in ``_PARITY`` buckets differ in no more buckets than the sets differ in shingles.
+Shingles of one component alone, or too late for the smaller set of any pair, are left out; those of more than ``_BLOCK`` classes are dealt to
+pairs of blocks, so no task holds more than two blocks of one shingle.
 
 Orders are dealt by range over (tree, key, hash of the id): equal keys of a large group spread over
-partitions.  A pair cut apart by a partition border in one order meets in others.
+partitions.
 
 Defined results: a text without words (or null) has an empty set, is linked with nothing and kept;
 fewer words than a shingle make the whole sequence the one shingle; repeated rows of one doc_id
@@ -53,6 +54,8 @@ _MISMATCHES = 37
 _FEW, _BEST = 5, 3
 _SLOTS = 1 << 24
 _PARITY = 1024
+#: Slots of the table that orders the shingles of marked classes; classes in a block.
+_COUNTS, _BLOCK = 1 << 19, 4096
 _PAIR = "a long, b long, miss int"
 
 
@@ -127,39 +130,39 @@ def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), dtype=kind).reshape(len(column), width)
 
 
-def _orders(batch: pa.RecordBatch, turned: bool = False):
-    """One row for each tree: (tree, key, salt, id, label, sketch); ``turned`` adds the trees of regrouped min-hashes."""
+def _orders(batch: pa.RecordBatch):
+    """One row for each tree: (tree, key, salt, id, sketch)."""
     n = batch.num_rows
     keys = _matrix(batch.column("keys"), "u1", 2 * _HASHES).reshape(n, _HASHES, 2)
-    names = ["salt", "id", "label", "sketch", *(["n_shingles", "parity"] if turned else [])]
-    for t in range(2 * TREES if turned else TREES):
-        key = keys[:, t * DEPTH : (t + 1) * DEPTH] if t < TREES else keys[:, t - TREES :: TREES]
+    names = ["salt", "id", "sketch"]
+    for t in range(TREES):
+        key = keys[:, t * DEPTH : (t + 1) * DEPTH]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, dtype=np.int32)), _binary(key.reshape(n, 2 * DEPTH)), *(batch.column(c) for c in names)], ["tree", "key", *names])
 
 
 def _windows(batches):
-    """For each run of sorted rows: (its columns, row and predecessor of each candidate, differing fields of the sketches, rows with a full window)."""
+    """For each run of sorted rows: (ids, row and predecessor of each candidate, differing fields of the sketches, rows of cut windows)."""
     held: tuple | None = None
     low = vec.U64(0x5555555555555555)
     for batch in batches:
         if not batch.num_rows:
             continue
-        run = (batch.column("tree").to_numpy(), _matrix(batch.column("key"), ">u2", DEPTH), batch.column("id").to_numpy(), batch.column("label").to_numpy(), _matrix(batch.column("sketch"), "<u8", _HASHES // 32))
-        if "parity" in batch.schema.names:
-            run += (batch.column("n_shingles").to_numpy(), _matrix(batch.column("parity"), "<u8", _PARITY // 64))
-        old = 0
+        run = (batch.column("tree").to_numpy(), _matrix(batch.column("key"), ">u2", DEPTH), batch.column("id").to_numpy(), _matrix(batch.column("sketch"), "<u8", _HASHES // 32))
+        old, begins = 0, held is None
         if held is not None:
             old = len(held[0])
             run = tuple(np.concatenate([x, y]) for x, y in zip(held, run, strict=True))
-        tree, key, _, _, sketch = run[:5]
+        tree, key, ids, sketch = run
         n = len(tree)
         same = np.cumprod(key[1:] == key[:-1], axis=1).sum(axis=1)
         step = np.r_[0, np.where(tree[1:] == tree[:-1], same, 0)]
         at = np.arange(old, n)
         depth = np.full(len(at), DEPTH)
-        rows, froms, far = [], [], []
+        rows, froms, far, cut = [at[:0]], [at[:0]], [np.zeros(0, dtype=np.int32)], []
         for back in range(1, REACH + 1):
             inside = at >= back
+            if begins:
+                cut.append(at[~inside])  # what is before the first row is in another partition
             at, depth = at[inside], depth[inside]
             depth = np.minimum(depth, step[at - back + 1])
             deep = depth >= LEAST_DEPTH
@@ -172,9 +175,15 @@ def _windows(batches):
             rows.append(at[ok])
             froms.append(at[ok] - back)
             far.append(miss[ok].astype(np.int32))
+        # any two rows of a region that no window holds are both marked: one is full, the other REACH before a full one
+        cut += [at, at - REACH]
         held = tuple(x[-REACH:].copy() for x in run)
-        if rows:
-            yield run, np.concatenate(rows), np.concatenate(froms), np.concatenate(far), at
+        yield ids, np.concatenate(rows), np.concatenate(froms), np.concatenate(far), np.concatenate(cut)
+    if held is not None:  # what follows the last row is in another partition
+        tree, key, ids, _ = held
+        near = (tree == tree[-1]) & (key[:, :LEAST_DEPTH] == key[-1, :LEAST_DEPTH]).all(axis=1)
+        none = np.zeros(0, dtype=np.int64)
+        yield ids, none, none, none, np.flatnonzero(near)
 
 
 def _candidates(a: np.ndarray, b: np.ndarray, miss: np.ndarray) -> pa.RecordBatch:
@@ -183,7 +192,7 @@ def _candidates(a: np.ndarray, b: np.ndarray, miss: np.ndarray) -> pa.RecordBatc
 
 def _neighbours(batches):
     """The most alike candidates within each sorted run: (a, b, differing fields), and (id, id, -1) of the classes of a cut window."""
-    for (_, _, ids, *_), r, f, m, full in _windows(batches):
+    for ids, r, f, m, cut in _windows(batches):
         order = np.lexsort((-f, m, r))
         r, f, m = r[order], f[order], m[order]
         first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else r
@@ -192,38 +201,119 @@ def _neighbours(batches):
         more = np.repeat(many, many) > _FEW
         keep = rank < np.where(more, _BEST, _FEW)
         yield _candidates(ids[r[keep]], ids[f[keep]], m[keep])
-        # any two rows of a region that no window holds are both marked: one is full, the other REACH before a full one
-        cut = np.unique(ids[np.concatenate([r[more], f[more], full, full - REACH])])
+        cut = np.unique(ids[np.concatenate([r[more], f[more], cut])])
         yield _candidates(cut, cut, np.full(len(cut), -1))
 
 
-def _others(percent: int):
-    """All candidates of other components within each sorted run that may be alike enough.
+def _sorted(classes: DataFrame) -> DataFrame:
+    """The orders of classes (id, keys, sketch), dealt by range."""
+    rows = classes.select("id", F.xxhash64("id").alias("salt"), "keys", "sketch")
+    trees = map_arrow(rows, _orders, "tree int, key binary, salt long, id long, sketch binary")
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return trees.repartitionByRange(parts, "tree", "key", "salt").sortWithinPartitions("tree", "key", "salt")
+
+
+def _count_slot(s: np.ndarray) -> np.ndarray:
+    return (vec.mix(s ^ vec.U64(0xA54FF53A5F1D36F1)) >> vec.U64(20)).astype(np.int64) & (_COUNTS - 1)
+
+
+def _all_sets(batch: pa.RecordBatch) -> np.ndarray:
+    data, offsets, _ = vec.buffers(batch.column("s"))
+    return np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), dtype=np.uint64)
+
+
+def _slot_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    n = np.bincount(_count_slot(_all_sets(batch)), minlength=_COUNTS)
+    slot = np.flatnonzero(n)
+    return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n[slot])], ["slot", "n"])
+
+
+def _first_shingles(counts, percent: int):
+    """(token, place, n, id, label, parity) of each set's first shingles in the order of counts; without parity if the rows have none.
 
-    Sets of n and n' shingles that differ in d have similarity (n + n' - d) / (n + n' + d).
+    Sets of similarity p share p of the larger one at least, hence one of its first n - pn + 1.
     """
 
+    def work(batch: pa.RecordBatch):
+        _, offsets, _ = vec.buffers(batch.column("s"))
+        s = _all_sets(batch)
+        at = np.asarray(offsets[: batch.num_rows + 1]).astype(np.int64)
+        size = np.diff(at - at[0]) // 8
+        of = np.repeat(np.arange(batch.num_rows), size)
+        order = np.lexsort((s, counts.value[_count_slot(s)], of))
+        place = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size)
+        keep = place <= (size * (100 - percent) // 100)[of]
+        of, token, place = of[keep], s[order][keep], place[keep]
+        names = [c for c in ("id", "label", "parity") if c in batch.schema.names]
+        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(place), pa.array(size[of]), *(batch.column(c).take(pa.array(of)) for c in names)], ["token", "place", "n", *names])
+
+    return work
+
+
+def _meetings(percent: int):
+    """The pairs of different components that meet at a shingle and may be alike enough: (a, b).
+
+    Sets of n and n' shingles of similarity p share p (n + n') / (1 + p) at least, and the first shared
+    shingle has the others behind it; sets that differ in d have similarity (n + n' - d) / (n + n' + d).
+    """
+    names = ("token", "x", "y", "own", "n", "place", "id", "label")
+
     def work(batches):
-        for (_, _, ids, labels, _, size, parity), r, f, m, _ in _windows(batches):
-            keep = labels[r] != labels[f]
-            r, f, m = r[keep], f[keep], m[keep]
-            ok = np.zeros(len(r), dtype=bool)
-            for lo in range(0, len(r), 1 << 16):
-                x, y = r[lo : lo + (1 << 16)], f[lo : lo + (1 << 16)]
-                differ = np.maximum(np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64), np.abs(size[x] - size[y]))
-                ok[lo : lo + (1 << 16)] = differ * (100 + percent) <= (size[x] + size[y]) * (100 - percent)
-            yield _candidates(ids[r[ok]], ids[f[ok]], m[ok])
+        held: tuple | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            run = (*(batch.column(c).to_numpy() for c in names), _matrix(batch.column("parity"), "<u8", _PARITY // 64))
+            old = 0
+            if held is not None:
+                old = len(held[0])
+                run = tuple(np.concatenate([x, y]) for x, y in zip(held, run, strict=True))
+            token, x, y, own, n, place, ids, label, parity = run
+            begin = np.r_[True, (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+            first = np.maximum.accumulate(np.where(begin, np.arange(len(token)), 0))
+            rest, found = n - place, []
+            early = rest * (100 + percent) >= 2 * percent * n  # the smaller of two sets, which is the former as rows of a shingle are sorted by n
+            where = np.flatnonzero(early)
+            before = np.cumsum(early) - early
+            at, back = np.arange(old, len(token)), 0
+            while True:
+                back += 1
+                at = at[before[at] >= back]
+                at = at[where[before[at] - back] >= first[at]]
+                to = where[before[at] - back]
+                like = 100 * n[to] >= percent * n[at]
+                at, to = at[like], to[like]
+                if not len(at):
+                    break
+                both = n[at] + n[to]
+                ok = (label[at] != label[to]) & ((x[at] == y[at]) | (own[at] != own[to])) & (np.minimum(rest[at], rest[to]) * (100 + percent) >= percent * both)
+                r, f, both = at[ok], to[ok], both[ok]
+                if len(r):
+                    near = np.bitwise_count(parity[r] ^ parity[f]).sum(axis=1, dtype=np.int64) * (100 + percent) <= both * (100 - percent)
+                    found.append(np.stack([ids[r[near]], ids[f[near]]]))
+            held = tuple(v[first[-1] :].copy() for v in run)
+            if found:
+                a, b = np.concatenate(found, axis=1)
+                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
     return work
 
 
-def _sorted(classes: DataFrame, turned: bool) -> DataFrame:
-    """The orders of classes (id, label, keys, sketch; n_shingles and parity if turned), dealt by range."""
-    extra = ["n_shingles", "parity"] if turned else []
-    rows = classes.select("id", "label", F.xxhash64("id").alias("salt"), "keys", "sketch", *extra)
-    trees = map_arrow(rows, lambda batch: _orders(batch, turned), "tree int, key binary, salt long, id long, label long, sketch binary" + (", n_shingles long, parity binary" if turned else ""))
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return trees.repartitionByRange(parts, "tree", "key", "salt").sortWithinPartitions("tree", "key", "salt")
+def _exact(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of sets (id, label, s, parity) with different labels that may be alike enough; complete."""
+    slots = map_arrow(sets.select("s"), _slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 2^19 rows at most
+    table = np.zeros(_COUNTS, dtype=np.uint32)
+    table[slots["slot"].to_numpy()] = np.minimum(slots["n"].to_numpy(), 0xFFFFFFFF)
+    counts = sets.sparkSession.sparkContext.broadcast(table)
+    first = _first_shingles(counts, percent)
+    mixed = map_arrow(sets.select("id", "label", "s"), first, "token long, place long, n long, id long, label long").groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("least"), F.max("label").alias("most"), F.max(F.expr(f"(n - place) * {100 + percent} >= {2 * percent} * n")).alias("early"))
+    mixed = stash(mixed.where("least <> most and early").select("token", F.ceil(F.col("many") / _BLOCK).cast("int").alias("blocks")), "tokens")
+    rows = map_arrow(sets.select("id", "label", "s", "parity"), first, "token long, place long, n long, id long, label long, parity binary").join(mixed, "token")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(31)), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "n", "place", "id", "label", "parity")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y", "n").mapInArrow(_meetings(percent), "a long, b long").distinct()
 
 
 def _similar(percent: int):
@@ -287,9 +377,9 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT
     signed = stash(sign(documents, k), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stash(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
-    only = full.join(classes, ["k1", "k2"]).where("doc_id = id").select("id", F.col("id").alias("label"), "keys", "sketch", "n_shingles", "parity")
-    found = stash(_sorted(only, False).mapInArrow(_neighbours, _PAIR).groupBy("a", "b").agg(F.min("miss").alias("miss")), "pairs")
-    pairs, dense = found.where("a <> b"), found.where("miss < 0").select(F.col("a").alias("id"))
+    only = full.join(classes, ["k1", "k2"]).where("doc_id = id").select("id", "keys", "sketch", "parity")
+    found = stash(_sorted(only).mapInArrow(_neighbours, _PAIR).groupBy("a", "b").agg(F.min("miss").alias("miss")), "pairs")
+    pairs, dense = found.where("a <> b"), found.where("miss < 0").select(F.col("a").alias("id")).distinct()
     held = stash(_sets_of(documents, _ends(pairs), k), "sets")
     both = pairs.select("a", "b", "miss", F.col("a").alias("of")).union(pairs.select("a", "b", "miss", F.col("b").alias("of")))
     first = both.groupBy("of").agg(F.min(F.struct("miss", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
@@ -302,12 +392,12 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT
         links = links.union(more)
         labels = components(links)
     if not dense.isEmpty():
-        again = only.drop("label").join(dense, "id", "left_semi").join(labels.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        others = _sorted(again, True).mapInArrow(_others(percent), _PAIR).select("a", "b").distinct()
-        others = stash(others.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        missing = _ends(others).join(held.select(F.col("id").alias("a")), "a", "left_anti")
+        missing = dense.select(F.col("id").alias("a")).join(held.select(F.col("id").alias("a")), "a", "left_anti")
         if not missing.isEmpty():
             held = held.union(stash(_sets_of(documents, missing, k), "sets"))
+        marked = only.select("id", "parity").join(dense, "id", "left_semi").join(labels.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        others = stash(_exact(stash(marked.join(held, "id"), "marked"), percent), "pairs")
+        others = others.join(pairs, ["a", "b"], "left_anti")
         more = stash(_confirm(others, held, percent), "links")
         if not more.isEmpty():
             labels = components(links.union(more))

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tessera.llm import op05_decontaminate as dec
@@ -80,6 +81,46 @@ def test_borderline_families_lose_no_link(spark, seed):
     assert len({c for _, c in want.values()}) > 20 and got == want
 
 
+def test_one_template_of_thousands_loses_no_link(spark):
+    """Texts a little below the threshold to each other fill every window; the planted links among them must be found."""
+    draw = random.Random(5)
+    n, sets = 3000, []
+    for i in range(n):
+        sets.append(set(draw.sample([f"w{j}" for j in range(176)], 174)) | {f"x{i}.{j}" for j in range(26)})
+    for i in range(0, 600, 2):  # far apart by their other words
+        shared = [f"p{i}.{j}" for j in range(7)]
+        for k in (i, n - 1 - i):
+            sets[k] = {w for w in sets[k] if w not in {f"x{k}.{j}" for j in range(7)}} | set(shared)
+    common = sorted({w for s in sets for w in s if w[0] != "x"})
+    column = {w: j for j, w in enumerate(common)}
+    has = np.zeros((n, len(common)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        has[i, [column[w] for w in s if w in column]] = 1
+    both = has @ has.T
+    alike = 100 * both >= 80 * (400 - both)
+    links = [(a, b) for a, b in np.argwhere(np.triu(alike, 1)).tolist()]
+    want = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    texts = [(i, " ".join(sorted(s, key=lambda w: draw.random()))) for i, s in enumerate(sets)]
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 1).collect()}
+    assert 100 < len(links) < 400 and got == {i: want.get(i, i) for i in range(n)}
+
+
+def test_full_blocks_of_a_shingle_meet(spark, monkeypatch):
+    """Every pair of blocks is compared: few classes in a block, one shingle in all sets."""
+    draw = random.Random(6)
+    sets = [np.array(sorted({1, *(draw.randrange(2, 14) for _ in range(6))}), dtype=np.uint64) for _ in range(60)]
+    monkeypatch.setattr(near, "_BLOCK", 7)
+    rows = []
+    for i, s in enumerate(sets):
+        bucket = (near.vec.mix(s ^ near.vec.U64(0x3C6EF372FE94F82B)) % near.vec.U64(near._PARITY)).astype(np.int64)
+        rows.append((i, i % 50, bytearray(s.tobytes()), bytearray(np.packbits((np.bincount(bucket, minlength=near._PARITY) & 1).astype(bool)).tobytes())))
+    got = {tuple(r) for r in near._exact(spark.createDataFrame(rows, "id long, label long, s binary, parity binary"), 60).collect()}
+    plain = [set(s.tolist()) for s in sets]
+    want = {(a, b) for a in range(60) for b in range(a) if a % 50 != b % 50 and 100 * len(plain[a] & plain[b]) >= 60 * len(plain[a] | plain[b])}
+    want = {(b, a) for a, b in want}
+    assert len(want) > 20 and want <= got
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7), (200, 201), (201, 202), (202, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
