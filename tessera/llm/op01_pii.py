@@ -81,7 +81,7 @@ def detect(text: str) -> list[Span]:
 _ALIKE = dict(zip("АВЕКМНОРСТУХаеорсухіјѕԁԛԝһΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορτυχｏ", "ABEKMHOPCTYXaeopcyxijsdqwhABEZHIKMNOPTYXavoptuxo", strict=True))
 _INVISIBLE = "­​‌‍⁠﻿"
 _DIGIT_WORDS = {w: str(d) for d, words in enumerate(("zero oh null", "one eins uno", "two zwei dos deux", "three drei tres trois", "four vier cuatro quatre", "five fünf cinco cinq", "six sechs seis", "seven sieben siete sept", "eight acht ocho huit", "nine neun nueve neuf")) for w in words.split()}
-_SPELLED = re.compile(r"(?i)(?<!\w)(?:(?:plus|" + "|".join(sorted(_DIGIT_WORDS)) + r"|[0-9]+)(?:[\x20,-]{1,3}|(?!\w))){4,}")
+_SPELLED = re.compile(r"(?i)(?<!\w)(?=[0-9p" + "".join(sorted({w[0] for w in _DIGIT_WORDS})) + r"])(?:(?:plus|" + "|".join(sorted(_DIGIT_WORDS)) + r"|[0-9]+)(?:[\x20,-]{1,3}|(?!\w))){4,}")
 _TOKEN = re.compile(r"[^\W_]+")
 _BRACKET_AT = re.compile(r"(?i)\x20?[\[({<]\x20?(?:at|@|arroba|ät)\x20?[\])}>]\x20?")
 _BRACKET_DOT = re.compile(r"(?i)\x20?[\[({<]\x20?(?:dot|\.|punkt|punto|point)\x20?[\])}>]\x20?")
@@ -90,20 +90,21 @@ _SPOKEN_AT, _SPOKEN_DOT = re.compile(r"(?i)\x20+at\x20+"), re.compile(r"(?i)\x20
 
 
 class Tape:
-    """A text with, for each character, the source characters it stands for and whether it was rewritten."""
+    """A text with, for each character, the source characters it stands for and whether it was rewritten; only the text until the first edit."""
 
     __slots__ = ("text", "start", "end", "new")
 
     def __init__(self, text: str):
         self.text = text
-        self.start = list(range(len(text)))
-        self.end = list(range(1, len(text) + 1))
-        self.new = bytearray(len(text))
+        self.start = self.end = self.new = None
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replaces the given ranges; they are sorted and do not overlap."""
         if not edits:
             return
+        if self.new is None:
+            n = len(self.text)
+            self.start, self.end, self.new = list(range(n)), list(range(1, n + 1)), bytearray(n)
         text, start, end, new, done = [], [], [], bytearray(), 0
         for a, b, put in [*edits, (len(self.text), len(self.text), "")]:
             text.append(self.text[done:a])
@@ -136,6 +137,8 @@ _STRANGE = re.compile("[­Ͱ-ӿԀ-ԯ٠-٩۰-۹०-९​-‍․⁠⁰-₟﹐-﻿
 
 def lookalikes(tape: Tape) -> None:
     """Look-alikes become ASCII; invisible characters inside words vanish."""
+    if tape.text.isascii():
+        return
     edits = []
     for m in _STRANGE.finditer(tape.text):
         c = m[0]
@@ -170,24 +173,15 @@ def spelled_digits(tape: Tape) -> None:
 
 def at_and_dot(tape: Tape) -> None:
     """Bracketed and spoken disguises of "@" and "."."""
-    if "at" in tape.text.lower() or "@" in tape.text:
-        tape.rewrite([(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(tape.text) if 0 < m.start() and m.end() < len(tape.text)])
-        tape.rewrite([(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(tape.text) if 0 < m.start() and m.end() < len(tape.text)])
-        edits = []
-        for m in _SPOKEN.finditer(tape.text):
-            edits += [(x.start(), x.end(), "@") for x in _SPOKEN_AT.finditer(tape.text, m.start(), m.end())][:1]
-            edits += [(x.start(), x.end(), ".") for x in _SPOKEN_DOT.finditer(tape.text, m.start(), m.end())]
-        tape.rewrite(sorted(edits))
-
-
-_DISGUISE = re.compile(r"(?i)[\[({<]\x20?(?:at|@|arroba|ät|dot|\.|punkt|punto|point)\x20?[\])}>]|\x20dot\x20|(?:(?<!\w)(?:" + "|".join(sorted(_DIGIT_WORDS)) + r")[\x20,-]{1,3}){3}")
-
-
-def suspicious(text: str) -> bool:
-    """Whether any transducer could matter: a cheap test that most texts fail."""
-    if not text.isascii() and _STRANGE.search(text):
-        return True
-    return _DISGUISE.search(text) is not None
+    tape.rewrite([(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(tape.text) if 0 < m.start() and m.end() < len(tape.text)])
+    tape.rewrite([(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(tape.text) if 0 < m.start() and m.end() < len(tape.text)])
+    if "@" not in tape.text and " at " not in tape.text.lower():  # one of them is part of every match
+        return
+    edits = []
+    for m in _SPOKEN.finditer(tape.text):
+        edits += [(x.start(), x.end(), "@") for x in _SPOKEN_AT.finditer(tape.text, m.start(), m.end())][:1]
+        edits += [(x.start(), x.end(), ".") for x in _SPOKEN_DOT.finditer(tape.text, m.start(), m.end())]
+    tape.rewrite(sorted(edits))
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -195,11 +189,11 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     if not text:
         return [], []
     base = detect(text)
-    if not suspicious(text):
-        return base, base
     tape = Tape(text)
     for transduce in (lookalikes, spelled_digits, at_and_dot):
         transduce(tape)
+    if tape.new is None:
+        return base, base
     added: list[Span] = []
     for a, k, b in detect(tape.text):
         if any(tape.new[a:b]) or tape.end[b - 1] - tape.start[a] != b - a:

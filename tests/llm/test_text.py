@@ -58,6 +58,19 @@ PII = [
 @pytest.mark.parametrize("text", PII)
 def test_base_spans_equal_the_patterns(text):
     assert pii.detect(text) == plain_base(text)
+
+
+DISGUISED = [
+    ("write john.doe at example.com today", "email", "john.doe at example.com"), ("call +1 415 555 one two 3 four 5 six now", "phone", "+1 415 555 one two 3 four 5 six"),
+    ("call +1 415 555 0 one two three.", "phone", "+1 415 555 0 one two three"), ("host 10[.]0[.]0[.]7 is down", "ip", "10[.]0[.]0[.]7"), ("or joe [arroba] example.com here", "email", "joe [arroba] example.com"),
+]
+
+
+@pytest.mark.parametrize("text,kind,span", DISGUISED)
+@pytest.mark.parametrize("more", ["", " [at] x", " the dot of"])
+def test_a_disguise_is_found_whatever_else_the_text_holds(text, kind, span, more):
+    at = text.index(span)
+    assert (at, pii.KINDS.index(kind), at + len(span)) in pii.find(text + more)[1]
     base, spans = pii.find(text)
     assert base == plain_base(text) and set(base) <= set(spans)
 
