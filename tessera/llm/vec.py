@@ -127,6 +127,21 @@ def sequence_hash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+class Runs:
+    """Hashes of runs of consecutive words, order-sensitive, in constant time for each run whatever its length."""
+
+    __slots__ = ("total", "back")
+
+    def __init__(self, h: np.ndarray):
+        self.total = np.zeros(len(h) + 1, dtype=U64)
+        np.cumsum(h * _upto("p", _P, len(h)), out=self.total[1:])
+        self.back = _upto("i", _PINV, len(h))
+
+    def __call__(self, at: np.ndarray, k: int) -> np.ndarray:
+        """The hash of words i, ..., i + k - 1 for each i in at."""
+        return mix((self.total[at + k] - self.total[at]) * self.back[at])
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, is null) of an Arrow string or binary array; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

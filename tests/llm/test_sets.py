@@ -158,9 +158,52 @@ def test_substrings_of_nothing(empty):
     assert sub.remove_repeats(empty).count() == 0
 
 
-def test_packing_round_trip():
-    import numpy as np
+def test_substrings_of_extreme_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [((1 << 63) - 1, text), (-(1 << 63), text), (None, text), (None, text), (5, text), (5, text), (7, None)]
+    got = [tuple(r)[:3] for r in sub.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([((1 << 63) - 1, 30, 30), (-(1 << 63), 30, 0), (None, 30, 30), (None, 30, 30), (5, 30, 30), (5, 30, 30), (7, 0, 0)], key=str)
+    with pytest.raises(TypeError):
+        sub.remove_repeats(spark.createDataFrame([("x", text)], "doc_id string, text string"))
+
+
+def test_one_passage_in_most_documents(spark):
+    """A hot passage, single words that fill every prefix table, and repeats that no other chunk has."""
+    draw = random.Random(9)
+    passage = " ".join(draw.choices(["the", "of", "and"], k=60))
+    rows = [(i, " ".join(draw.choices(["the", "of", "and", "x", "y"], k=40)) + " " + passage + (f" {i % 3} tail" if i % 5 else "")) for i in range(300)]
+    got = [tuple(r)[:4] for r in sub.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 13, 1 << 11).collect()]
+    assert sorted(got) == sorted(plain_removed(rows, 13))
+
+
+def test_subtrees_have_the_depths_of_sorted_suffixes():
+    draw = random.Random(2)
+    text = draw.choices(range(3), k=400)
+    size = 6
+    suffixes = [text[i : i + size] for i in range(len(text) - size + 1)]
+    codes = np.array(suffixes, dtype=np.uint8)
+    full = np.array([sum(x * 3**j for j, x in enumerate(s)) for s in suffixes], dtype=np.uint64)
+    order = sub.suffix_order(codes, full)
+    assert [suffixes[i] for i in order] == sorted(suffixes)
+    want = [0] + [next((j for j in range(size) if a[j] != b[j]), size) for a, b in zip(sorted(suffixes), sorted(suffixes)[1:])]
+    assert sub.depths(codes[order], full[order]).tolist() == want
+    assert sub.depths(np.zeros((2, size), dtype=np.uint8), np.array([1, 2], dtype=np.uint64)).tolist() == [0, size - 1]
+
+
+def test_prefixes_are_as_long_as_they_must_be():
+    h = np.array([1, 2, 3, 1, 2, 4, 1, 5, 6], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    runs, at = near.vec.Runs(h), np.array([0, 3, 6])
+    one, two = runs(at, 1), runs(at, 2)
+    heavy = {1: np.zeros(1 << 14, dtype=bool), 2: np.zeros(1 << 14, dtype=bool)}
+    light = sub.Prefixes(3, 1 << 20, heavy).group(runs, at)
+    assert len(set(light.tolist())) == 1
+    heavy[1][sub._slots(one)] = True
+    assert len(set(sub.Prefixes(3, 1 << 20, heavy).group(runs, at).tolist())) == 2
+    heavy[2][sub._slots(two[:1])] = True
+    assert len(set(sub.Prefixes(3, 1 << 20, heavy).group(runs, at).tolist())) == 3
+
 
+def test_packing_round_trip():
     for x in ([], [5], [0, 1, 2, 1 << 40, (1 << 64) - 1], [3] * 4):
         assert sub.unpack(sub.pack(np.array(x, dtype=np.uint64))).tolist() == x
     for x in ([5], [-3, 9, 1 << 50], [(1 << 63) - 1, -(1 << 63)]):
