@@ -2,254 +2,233 @@
 
 A window is ``size`` consecutive words of a benchmark item (a shorter item is one window).  Its
 shingles are ordered by how often they occur in the documents; containment of the whole window
-needs only the rarest one as prefix token.  Documents are searched for prefix tokens; a hit fixes
-the window's place, which must lie inside the text (length and positional bounds), and every word
-of the window is then compared.
-
-The benchmark is the query set: it is cut into blocks of at most ``BLOCK_BYTES`` of text, and each
-block is held by every executor while the documents stream past it once.  Nothing of the
-documents is shuffled but the shingle counts.
-
-Defined results: null or empty texts have no words and no hits; items with null id or no words
-are ignored; rows with the same item_id count as one item; each document row is judged on its
-own, so repeated rows repeat their result; ties in rarity go to the smaller hash.  Only the named
-columns are read.
+needs only the rarest one as prefix token.  Tokens of documents and windows are joined; what meets
+fixes the window's place, which must lie inside the text (length and positional bounds), and every
+word of the window is then compared.
+
+Benchmark and documents are both tables, of any size.  No index is held anywhere: each pass over
+the documents carries a bit table (at most ``1 << MOST_BITS`` bits, 16 MB) that turns away words whose
+token no window has, and an equi-join decides.  A wrong bit costs a row in that join.  Candidates
+carry the words around them, and results go back by a key of the text (128 bits), so copies of a
+text are verified once and no text is shuffled; rows without a candidate are not joined at all.
+What is shuffled are counts of the benchmark's shingles, candidates, and results.
+
+Defined results: null or empty texts have no words and no hits; items with null id or no words are
+ignored; rows with the same item_id count as one item; each document row is judged on its own, so
+repeated rows repeat their result; ties in rarity go to the smaller hash, then to the earlier
+place.  Only the named columns are read.  Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import map_arrow
+from .common import map_arrow, stash
 
 WINDOW = 10
 SHINGLE = 3
-#: Benchmark text held by an executor at once.
-BLOCK_BYTES = 16 << 20
-_SLOTS = 1 << 22
+#: Bits of the table that turns words away: 8 for each token, within these powers of two.
+LEAST_BITS, MOST_BITS = 16, 27
+_TEXT = ["t1", "t2"]
+_KEY = ["k1", "k2"]
 
 
-class Lookup:
-    """Positions of given hashes in a stream of hashes; a bit table first, then the sorted list."""
+def windows_of(benchmark: DataFrame, size: int) -> DataFrame:
+    """(item, k1, k2, words): the windows of each item, with a key of their words."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
 
-    def __init__(self, hashes: np.ndarray):
-        self.sorted = np.unique(hashes)
-        self.bits = np.zeros(_SLOTS, dtype=bool)
-        self.bits[(self.sorted & vec.U64(_SLOTS - 1)).astype(np.int64)] = True
+    def work(batch: pa.RecordBatch):
+        for lo, hi, data, offsets in vec.slices(batch.column("text")):
+            words = vec.Words(data, offsets, vec.ALNUM_WORDS)
+            counts = words.counts()
+            n = np.minimum(counts, size)
+            many = np.where(counts > 0, counts - n + 1, 0)
+            item = np.repeat(np.arange(hi - lo), many)
+            at = words.first[item] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            runs, raw, n = vec.Runs(words.hash), words.hash.tobytes(), n[item]
+            key, other = np.zeros((2, len(at)), dtype=vec.U64)
+            for k in np.unique(n).tolist():
+                same = n == k
+                key[same] = _sized(runs, at[same], k)
+                other[same] = vec.mix(vec.sequence_hash(words.hash, at[same], k) + vec.U64(k))
+            text = [raw[8 * a : 8 * (a + b)] for a, b in zip(at.tolist(), n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("item").slice(lo, hi - lo).take(pa.array(item)), pa.array(key.view(np.int64)), pa.array(other.view(np.int64)), pa.array(text, pa.binary())], ["item", *_KEY, "words"])
 
-    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in h, their index in ``sorted``)."""
-        at = np.flatnonzero(self.bits[(h & vec.U64(_SLOTS - 1)).astype(np.int64)])
-        if not len(at) or not len(self.sorted):
-            return at[:0], at[:0]
-        k = np.minimum(np.searchsorted(self.sorted, h[at]), len(self.sorted) - 1)
-        same = self.sorted[k] == h[at]
-        return at[same], k[same]
+    return map_arrow(rows, work, "item string, k1 long, k2 long, words binary")
 
 
-class Index:
-    """The windows of one block of items."""
+def _sized(runs: vec.Runs, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of runs of k words that differ from those of other lengths."""
+    return vec.mix(runs(at, k) + vec.U64(k))
 
-    def __init__(self, items: list[tuple[str, str]], size: int, shingle: int):
-        texts = pa.array([t for _, t in items], pa.string())
-        self.windows: dict[tuple[int, ...], set[str]] = {}
-        for lo, hi, data, offsets in vec.slices(texts):
-            words = vec.Words(data, offsets, vec.ALNUM_WORDS)
-            for i in range(hi - lo):
-                h = words.hash[words.first[i] : words.first[i + 1]].tolist()
-                n = min(size, len(h))
-                for j in range(len(h) - n + 1 if h else 0):
-                    self.windows.setdefault(tuple(h[j : j + n]), set()).add(items[lo + i][0])
-        self.keys = sorted(self.windows)
-        self.length = np.array([len(k) for k in self.keys], dtype=np.int64)
-        self.words = np.zeros((len(self.keys), size), dtype=vec.U64)
-        for i, k in enumerate(self.keys):
-            self.words[i, : len(k)] = k
-        names = sorted({x for v in self.windows.values() for x in v})
-        self.names, number = names, {x: i for i, x in enumerate(names)}
-        self.items = [sorted(number[x] for x in self.windows[k]) for k in self.keys]
-        self.size = np.minimum(self.length, shingle)
-        self.shingles: list[tuple[int, int, int, int]] = []  # (shingle length, hash, window, place)
-        for s in sorted(set(self.size.tolist())):
-            rows = np.flatnonzero(self.size == s)
-            for place in range(int(self.length[rows].max()) - s + 1):
-                fit = rows[self.length[rows] >= place + s]
-                flat = self.words[fit].reshape(-1)
-                h = vec.sequence_hash(flat, np.arange(len(fit)) * size + place, s)
-                self.shingles += [(s, int(x), int(w), place) for x, w in zip(h, fit, strict=True)]
-
-    def distinct(self) -> dict[int, np.ndarray]:
-        out: dict[int, set[int]] = {}
-        for s, h, _, _ in self.shingles:
-            out.setdefault(s, set()).add(h)
-        return {s: np.array(sorted(v), dtype=vec.U64) for s, v in out.items()}
-
-    def choose(self, counts: dict[tuple[int, int], int]) -> None:
-        """Keeps, for each window, its rarest shingle as prefix token."""
-        best: dict[int, tuple] = {}
-        for s, h, w, place in self.shingles:
-            best[w] = min(best.get(w, (1 << 62,)), (counts.get((s, h), 0), h, place, s))
-        self.shingles = []
-        self.probe: dict[int, tuple] = {}
-        for s in sorted({b[3] for b in best.values()}):
-            own = sorted((b[1], w, b[2]) for w, b in best.items() if b[3] == s)
-            look = Lookup(np.array([x[0] for x in own], dtype=vec.U64))
-            begin = np.searchsorted(np.array([x[0] for x in own], dtype=vec.U64), look.sorted)
-            self.probe[s] = (look, np.r_[begin, len(own)], np.array([x[1] for x in own]), np.array([x[2] for x in own]))
-
-    def find(self, words: vec.Words) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, window) of every occurrence in the texts of a slice."""
-        starts, found = [], []
-        for s, (look, begin, window, place) in self.probe.items():
-            h, at = words.windows(s)
-            hit, k = look(h)
-            many = begin[k + 1] - begin[k]
-            if not many.sum():
-                continue
-            pick = np.repeat(begin[k] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-            pos = np.repeat(at[hit], many)
-            w = window[pick]
-            text = np.searchsorted(words.first, pos, side="right") - 1
-            start = pos - place[pick]
-            fits = (start >= words.first[text]) & (start + self.length[w] <= words.first[text + 1])
-            start, w = start[fits], w[fits]
-            for j in range(self.words.shape[1]):
-                far = j < self.length[w]
-                same = ~far
-                same[far] = words.hash[start[far] + j] == self.words[w[far], j]
-                start, w = start[same], w[same]
-            starts.append(start)
-            found.append(w)
-        return (np.concatenate(starts), np.concatenate(found)) if starts else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-
-
-def blocks(benchmark: DataFrame, limit: int) -> list[list[tuple[str, str]]]:
-    """The items in runs of bounded size, streamed to the driver a partition at a time."""
-    out: list[list[tuple[str, str]]] = [[]]
-    held = 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
-    for i, t in rows.toLocalIterator():
-        if held and held + len(t) > limit:
-            out.append([])
-            held = 0
-        out[-1].append((i, t))
-        held += len(t)
-    return out
-
-
-def _counts(documents: DataFrame, index: Index) -> dict[tuple[int, int], int]:
-    """How often each shingle of the block occurs in all documents."""
-    looks = {s: Lookup(h) for s, h in index.distinct().items()}
+
+def shingles_of(windows: DataFrame, shingle: int) -> DataFrame:
+    """(k1, k2, place, h): every shingle of every window; shorter windows have shorter ones."""
+
+    def work(batch: pa.RecordBatch):
+        data, offsets, _ = vec.buffers(batch.column("words"))
+        h = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), dtype=np.uint64)
+        first = (offsets - offsets[0]) // 8
+        n = np.diff(first)
+        s = np.minimum(n, shingle)
+        many = n - s + 1
+        window = np.repeat(np.arange(len(n)), many)
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at, runs, out = first[window] + place, vec.Runs(h), np.zeros(len(window), dtype=vec.U64)
+        for k in np.unique(s).tolist():
+            same = s[window] == k
+            out[same] = _sized(runs, at[same], k)
+        rows = pa.array(window)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in _KEY), pa.array(place.astype(np.int32)), pa.array(s[window].astype(np.int32)), pa.array(out.view(np.int64))], [*_KEY, "place", "s", "h"])
+
+    return map_arrow(windows.select(*_KEY, "words"), work, "k1 long, k2 long, place int, s int, h long")
+
+
+class Bits:
+    """A table of bits for a column of hashes, sized by their number within fixed bounds; ``sizes`` are the shingle lengths there are."""
+
+    def __init__(self, rows: DataFrame):
+        n, sizes = rows.agg(F.count(F.lit(1)), F.collect_set("s")).first()
+        self.sizes, self.size = sorted(sizes), 1 << min(max((8 * n).bit_length(), LEAST_BITS), MOST_BITS)
+        slot = F.col("h").bitwiseAND(F.lit(self.size - 1))
+        held = rows.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, CAST(h & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # size / 64 rows at most
+        table = np.zeros(self.size // 64, dtype=np.int64)
+        table[held["w"].to_numpy()] = held["b"].to_numpy()
+        self.table = table.view(np.uint8)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        slot = h & vec.U64(self.size - 1)
+        return np.flatnonzero(self.table[(slot >> vec.U64(3)).astype(np.int64)] >> (slot & vec.U64(7)).astype(np.uint8) & 1)
+
+    def hits(self, words: vec.Words):
+        """(positions, hashes) of the shingles of a slice that pass, for each length."""
+        text, runs = words.text_of(), vec.Runs(words.hash)
+        for k in self.sizes:
+            at = np.flatnonzero(text[: max(len(text) - k + 1, 0)] == text[k - 1 :])
+            h = _sized(runs, at, k)
+            ok = self(h)
+            yield at[ok], h[ok]
+
+
+def _counts(documents: DataFrame, bits) -> DataFrame:
+    """(h, n): how often each shingle that passes the bits occurs in all documents."""
 
     def work(batch: pa.RecordBatch):
-        total = {s: np.zeros(len(x.sorted), dtype=np.int64) for s, x in looks.items()}
         for _, _, data, offsets in vec.slices(batch.column("text")):
-            words = vec.Words(data, offsets, vec.ALNUM_WORDS)
-            for s, look in looks.items():
-                total[s] += np.bincount(look(words.windows(s)[0])[1], minlength=len(look.sorted))
-        for s, n in total.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s, dtype=np.int32)), pa.array(looks[s].sorted[at].view(np.int64)), pa.array(n[at])], ["s", "h", "n"])
+            found = [h for _, h in bits.value.hits(vec.Words(data, offsets, vec.ALNUM_WORDS))]
+            key, n = np.unique(np.concatenate(found) if found else np.zeros(0, dtype=vec.U64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    return map_arrow(documents.select("text"), work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
-    rows = map_arrow(documents.select("text"), work, "s int, h long, n long").groupBy("s", "h").agg(F.sum("n").alias("n"))
-    return {(r.s, r.h & ((1 << 64) - 1)): r.n for r in rows.toLocalIterator()}
 
+def _candidates(documents: DataFrame, bits, size: int) -> DataFrame:
+    """One row for each document, with its number of words, and one for each candidate (``h`` is not null): place, words before it, words around it."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def work(batch: pa.RecordBatch):
+        for lo, hi, data, offsets in vec.slices(batch.column("text")):
+            words = vec.Words(data, offsets, vec.ALNUM_WORDS)
+            n = hi - lo
+            ids, t1, t2 = (batch.column(c).slice(lo, n) for c in ("doc_id", *_TEXT))
+            found = list(bits.value.hits(words))
+            at = np.concatenate([a for a, _ in found]) if found else np.zeros(0, dtype=np.int64)
+            h = np.concatenate([x for _, x in found]) if found else np.zeros(0, dtype=vec.U64)
+            text = np.searchsorted(words.first, at, side="right") - 1
+            looked = np.zeros(n, dtype=bool)
+            looked[text] = True
+            none = pa.nulls(n, pa.int32())
+            yield pa.RecordBatch.from_arrays([ids, t1, t2, pa.array(words.counts()), pa.array(looked), none, none, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], _NAMES)
+            if not len(at):
+                continue
+            a, b = np.maximum(words.first[text], at - size + 1), np.minimum(words.first[text + 1], at + size)
+            raw = words.hash.tobytes()
+            around = [raw[8 * x : 8 * y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            of, m = pa.array(text), len(at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(m, ids.type), t1.take(of), t2.take(of), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array((at - words.first[text]).astype(np.int32)), pa.array((at - a).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(around, pa.binary())], _NAMES
+            )
+
+    return map_arrow(documents.select("doc_id", "text", *_TEXT), work, f"doc_id {kind}, t1 long, t2 long, n_words long, looked boolean, pos int, before int, h long, around binary")
+
+
+_NAMES = ["doc_id", "t1", "t2", "n_words", "looked", "pos", "before", "h", "around"]
+
+
+def _text_key() -> list[Column]:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(41), text).alias("t2")]
+
+
+def _matches(documents: DataFrame, benchmark: DataFrame, size: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of ``_candidates``; (t1, t2, start, end, k1, k2) of every occurrence of a window in a text; (k1, k2, item))."""
+    held = documents.sparkSession.sparkContext.broadcast
+    windows = stash(windows_of(benchmark, size), "windows")
+    shingles = shingles_of(windows.dropDuplicates(_KEY), shingle)
+    shingles = stash(shingles, "shingles")
+    documents = documents.select("doc_id", "text", *_text_key())
+    counts = _counts(documents, held(Bits(shingles)))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "place", "s")).alias("m")
+    prefix = shingles.join(counts, "h", "left").groupBy(*_KEY).agg(rarest).select(*_KEY, "m.h", "m.place", "m.s")
+    prefix = stash(prefix.join(windows.dropDuplicates(_KEY).select(*_KEY, "words"), _KEY), "prefixes")
+    rows = stash(_candidates(documents, held(Bits(prefix)), size), "candidates")
+    found = rows.where("h is not null").groupBy(*_TEXT, "pos", "h").agg(F.first("before").alias("before"), F.first("around").alias("around"))
+    hits = found.join(prefix, "h").where("before >= place and substring(around, 8 * (before - place) + 1, length(words)) = words")
+    hits = hits.select(*_TEXT, (F.col("pos") - F.col("place")).alias("start"), F.expr("pos - place + length(words) div 8").cast("int").alias("end"), *_KEY)
+    return rows, hits, windows.select(*_KEY, "item").distinct()
+
+
+def _hit_words(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The union of each text's matches."""
+    n_hit, runs = [], []
+    for spans in batch.column("spans").to_pylist():
+        spans = np.array([(s["start"], s["end"]) for s in spans], dtype=np.int64)
+        spans = spans[np.argsort(spans[:, 0], kind="stable")]
+        far = np.maximum.accumulate(spans[:, 1])
+        first = np.flatnonzero(np.r_[True, spans[1:, 0] > far[:-1]])
+        begin, end = spans[first, 0].tolist(), far[np.r_[first[1:] - 1, len(far) - 1]].tolist()
+        n_hit.append(sum(end) - sum(begin))
+        runs.append(",".join(f"{a}:{b}" for a, b in zip(begin, end, strict=True)))
+    return pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), pa.array(n_hit, pa.int64()), pa.array(runs, pa.string())], ["t1", "t2", "n_hit", "hits"])
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits) of each document row.
 
     ``hits`` holds the hit words as runs "first:end" (word numbers, end exclusive), comma-joined.
     """
-    indexes = []
-    for items in blocks(benchmark, block_bytes):
-        index = Index(items, size, shingle)
-        index.choose(_counts(documents, index))
-        indexes.append(index)
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    state = documents.select("doc_id", "text", F.lit("").alias("runs"), F.lit("").alias("items"))
-    for k, index in enumerate(indexes):
-        last = k == len(indexes) - 1
-        state = state.mapInArrow(_pass(index, last), f"doc_id {kind}, " + ("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits string" if last else "text string, runs string, items string"))
-    return state
-
-
-def _pass(index: Index, last: bool):
-    """One block against all documents; found runs and items are carried along until the last block."""
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column("text")
-            for lo, hi, data, offsets in vec.slices(texts):
-                n = hi - lo
-                words = vec.Words(data, offsets, vec.ALNUM_WORDS)
-                start, w = index.find(words)
-                mark = np.zeros(len(words.hash) + 1, dtype=np.int64)
-                np.add.at(mark, start, 1)
-                np.add.at(mark, start + index.length[w], -1)
-                before = batch.column("runs").slice(lo, n).to_pylist()
-                names = [set(x.split(",")) if x else set() for x in batch.column("items").slice(lo, n).to_pylist()]
-                for i, x in enumerate(before):
-                    for a, b in (map(int, r.split(":")) for r in x.split(",") if r):
-                        mark[words.first[i] + a] += 1
-                        mark[words.first[i] + b] -= 1
-                hit = np.cumsum(mark)[:-1] > 0
-                text = np.searchsorted(words.first, start, side="right") - 1
-                for t, x in set(zip(text.tolist(), w.tolist(), strict=True)):
-                    names[t].update(index.names[y] for y in index.items[x])
-                begin = hit & np.r_[True, ~hit[:-1]] if len(hit) else hit
-                first = words.first[:-1][words.counts() > 0]
-                begin[first] = hit[first]  # a run never crosses texts
-                stop = hit & np.r_[~hit[1:], True] if len(hit) else hit
-                ends = words.first[1:][words.counts() > 0] - 1
-                stop[ends] = hit[ends]
-                a, b = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-                owner = np.searchsorted(words.first, a, side="right") - 1
-                runs: list[list[str]] = [[] for _ in range(n)]
-                for t, x, y in zip(owner.tolist(), a.tolist(), b.tolist(), strict=True):
-                    runs[t].append(f"{x - words.first[t]}:{y - words.first[t]}")
-                joined = [",".join(r) for r in runs]
-                listed = [",".join(sorted(x)) for x in names]
-                ids = batch.column("doc_id").slice(lo, n)
-                if not last:
-                    yield pa.RecordBatch.from_arrays([ids, texts.slice(lo, n), pa.array(joined, pa.string()), pa.array(listed, pa.string())], ["doc_id", "text", "runs", "items"])
-                    continue
-                n_hit = np.bincount(words.text_of()[hit], minlength=n)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(words.counts()), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in listed], pa.string()), pa.array(n_hit > 0), pa.array(joined, pa.string())],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits"],
-                )
-
-    return run
-
-
-def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit; all columns stay. Documents with a null or repeated doc_id are judged row by row."""
-    size, shingle = WINDOW, SHINGLE
-    indexes = []
-    for items in blocks(benchmark, BLOCK_BYTES):
-        index = Index(items, size, shingle)
-        index.choose(_counts(documents, index))
-        indexes.append(index)
-
-    def drop(index: Index):
-        def run(batches):
-            for batch in batches:
-                texts = batch.column("text")
-                for lo, hi, data, offsets in vec.slices(texts):
-                    words = vec.Words(data, offsets, vec.ALNUM_WORDS)
-                    start, _ = index.find(words)
-                    keep = np.ones(hi - lo, dtype=bool)
-                    keep[np.searchsorted(words.first, start, side="right") - 1] = False
-                    yield batch.slice(lo, hi - lo).filter(pa.array(keep))
-
-        return run
-
-    for index in indexes:
-        documents = documents.mapInArrow(drop(index), documents.schema)
-    return documents
+    rows, hits, members = _matches(documents, benchmark, size, shingle)
+    hits = stash(hits, "hits")
+    words = map_arrow(hits.groupBy(*_TEXT).agg(F.collect_set(F.struct("start", "end")).alias("spans")), _hit_words, "t1 long, t2 long, n_hit long, hits string")
+    items = hits.select(*_TEXT, *_KEY).distinct().join(members, _KEY).groupBy(*_TEXT).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    result = words.join(items.select(*_TEXT, F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")), _TEXT)
+    rows = rows.where("n_words is not null")
+    none = rows.where("not looked").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"), F.lit("").alias("hits"))
+    some = rows.where("looked").join(result, _TEXT, "left")
+    zero = F.lit(0).cast("long")
+    some = some.select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), F.coalesce("hits", F.lit("")).alias("hits"))
+    return none.union(some)
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The documents without a hit; all columns stay. Rows with a null or repeated doc_id are judged by their texts like any other."""
+    _, hits, _ = _matches(documents, benchmark, size, shingle)
+    hit = stash(hits.select(*_TEXT).distinct(), "hit")
+    slots = Bits(hit.select(F.col("t1").alias("h"), F.lit(1).alias("s")))
+    held = documents.sparkSession.sparkContext.broadcast(slots)
+
+    def suspect(batch: pa.RecordBatch):
+        out = np.zeros(batch.num_rows, dtype=bool)
+        out[held.value(batch.column("t1").to_numpy().view(np.uint64))] = True
+        return out
+
+    names = documents.columns
+    rows = documents.select(*(documents[c].alias(f"c{i}") for i, c in enumerate(names)), *_text_key())
+    back = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+    clear = map_arrow(rows, lambda b: b.filter(pa.array(~suspect(b))), rows.schema)
+    other = map_arrow(rows, lambda b: b.filter(pa.array(suspect(b))), rows.schema)
+    return clear.select(*back).union(other.join(hit, _TEXT, "left_anti").select(*back))

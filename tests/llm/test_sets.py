@@ -232,17 +232,30 @@ def plain_hits(rows, items, size):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 20, 60])
-def test_decontamination(spark, docs, rows, block):
+@pytest.mark.parametrize("bits", [27, 3])
+def test_decontamination(spark, docs, rows, bits, monkeypatch):
+    """With few bits nearly every word is a candidate; the join decides the same."""
+    monkeypatch.setattr(dec, "LEAST_BITS", min(bits, 16))
+    monkeypatch.setattr(dec, "MOST_BITS", max(bits, 6))
     text = words(rows[5][1])
-    items = [(1, " ".join(text[-30:])), (2, "The THING"), (3, None), (None, "house river"), (10, ""), (4, " ".join(words(rows[0][1])[:11]).upper()), (1, "文章"), (20, "no such words at all in any of these texts, none")]
-    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, hits string")
-    got = [tuple(r)[:6] for r in dec.decontaminate(docs, bench, block_bytes=block).collect()]
+    items = [("1", " ".join(text[-30:])), ("2", "The THING"), ("3", None), (None, "house river"), ("10", ""), ("4", " ".join(words(rows[0][1])[:11]).upper()), ("1", "文章"), ("20", "no such words at all in any of these texts, none"), ("x,y", "the water"), ("x", "thing the"), ("é", "the thing")]
+    bench = spark.createDataFrame([(i, t, "x", 5) for i, t in items], "item_id string, text string, hits string, k1 int")
+    got = [tuple(r)[:6] for r in dec.decontaminate(docs, bench).collect()]
     key = lambda r: (r[0] is None, r)
     want = plain_hits(rows, items, 10)
-    assert sorted(got, key=key) == sorted(want, key=key)
-    kept = dec.keep_clean(docs, bench)
-    assert kept.columns == docs.columns and kept.count() == sum(not r[5] for r in want)
+    assert sorted(got, key=key) == sorted(want, key=key) and any("x,y" in (i or "") for i, _ in items)
+    clash = docs.withColumn("t1", docs.lang).withColumn("c0", docs.doc_id)
+    kept = dec.keep_clean(clash, bench)
+    dirty = {r[1] for r, w in zip(rows, want, strict=True) if w[5]}
+    assert kept.columns == clash.columns and sorted(kept.collect(), key=str) == sorted((r for r in clash.collect() if r.text not in dirty), key=str)
+
+
+def test_hit_words_are_those_of_the_runs(spark, docs, rows):
+    text = words(rows[5][1])
+    bench = spark.createDataFrame([(1, " ".join(text[-30:])), (2, "over")], "item_id long, text string")
+    for r in dec.decontaminate(docs, bench).collect():
+        runs = [tuple(map(int, x.split(":"))) for x in r.hits.split(",") if x]
+        assert sum(b - a for a, b in runs) == r.n_hit and all(x[1] < y[0] for x, y in zip(runs, runs[1:]))
 
 
 def test_decontamination_of_nothing(spark, docs, empty):
