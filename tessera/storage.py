@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,16 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where it is unset."""
-    held = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder of a session on one machine, or an error on a cluster."""
+    held = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not held:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is unset: executors of {master} need a folder that all of them share")
         held = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", held)
+        _remove_at_end(spark, held)
     return held.rstrip("/")
 
 
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    """The file system removes the path when the driver's JVM ends; tables made from it can be read until then."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df and reads it back: what uses it more than once computes it once, and lineage ends in files that outlive executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _remove_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
