@@ -1,35 +1,20 @@
-"""Helpers of the training-data operators: shared storage, learning sets, Arrow plumbing."""
+"""Helpers of the training-data operators: tables, learning sets, Arrow plumbing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.storage import stash
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["bounded_sample", "learnable", "map_arrow", "stash", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    held = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not held:
-        held = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", held)
-    return held.rstrip("/")
 
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage with files that survive executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def learnable(doc_id: str = "doc_id") -> Column:

@@ -1,13 +1,15 @@
 """Operator 4, URL rules by host-suffix and path-prefix expressions (DataFrame operations only).
 
 Each URL is expanded into the expressions a rule could have: every suffix of its host at a label
-boundary, with every prefix of its path whose length some rule path has.  The first bytes of each
+boundary that has no more labels than the longest rule host, with every prefix of its path whose
+length some rule path has.  The first bytes of each
 expression's digest are joined with those of the rules; what meets there is confirmed by the full
 digest, and the longest rule wins.
 
-Expressions are made once per distinct host and path, at most labels x rule path lengths of them;
-the verdict then goes back to every page row, so a hot host costs one row until the last join, whose
-hot side can be split.  Rules are joined as a table:
+Expressions are made once per distinct host and path, at most rule labels x rule path lengths of
+them, so a host of thousands of labels costs no more than another; the verdict then goes back to
+every page row, so a hot host costs one row until the last join, whose hot side can be split.  Pages
+without a host, null ones among them, can meet no rule and go round the join.  Rules are joined as a table:
 Spark broadcasts them only where their measured size allows it.
 
 Defined results: host and path are empty for a null url or one without "://"; equally long rules
@@ -61,10 +63,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         .withColumn("digest", _digest(F.col("rule_host"), F.col("rule_path")))
         .withColumn("short", F.substring("digest", 1, 2 * PREFIX_BYTES))
     )
-    lengths = [r[0] for r in rules.select(F.length("rule_path")).distinct().toLocalIterator()]  # at most as many as the longest rule path has characters
+    sizes = rules.agg(F.collect_set(F.length("rule_path")).alias("lengths"), F.max(F.size(F.split("rule_host", r"\."))).alias("labels")).first()
+    lengths, most = sizes.lengths, sizes.labels or 0  # at most as many as the longest rule path has characters
     split = split_url(pages)
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(most, 1)))), lambda i: F.array_join(F.slice(labels, -i, i), "."))
     prefixes = [F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(lengths)]
     distinct = split.where("host <> ''").select("host", "path").distinct()
     matched = (
@@ -78,4 +81,5 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         .groupBy("host", "path")
         .agg(F.max(F.struct((F.length("h") + F.length("p")).alias("n"), F.length("h").alias("n_host"), (F.col("rule_verdict") == "block").alias("block"), F.concat("h", "p").alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("best"))
     )
-    return split.join(matched, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    judged = split.where("host <> ''").join(matched, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return judged.unionByName(split.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
