@@ -7,7 +7,8 @@ with the smallest sum wins; equal sums go to the smaller name.
 
 Defined results: null text or text without a letter gives ``und`` with score 0; equal counts
 are ranked by the n-gram's code; texts of any length are used whole; an empty table gives an
-empty result; without learnable rows every text is ``und``.  Only the named columns are read,
+empty result; without learnable rows every text is ``und``; of more than ``MOST_LANGS`` languages
+the most frequent are learned, equal ones by name.  Only the named columns are read,
 so further columns of any name do no harm.
 """
 
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import bounded_sample, learnable, map_arrow
+from .common import learnable, map_arrow
 
 #: Length of a rank list, and what an n-gram missing from it adds.
 PROFILE = 300
-#: Bound on the documents the profiles are learned from.
-LEARN_DOCS = 6000
+#: Bounds on the documents each profile is learned from, and on the profiles: the most frequent languages.
+LEARN_DOCS, MOST_LANGS = 2000, 256
 _BITS = 20
 
 
@@ -81,10 +82,19 @@ def ranked(ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return ids[keep], codes[keep], rank[keep]
 
 
+def _learnable_rows(documents: DataFrame, bound: int) -> DataFrame:
+    """(lang, text) of about ``bound`` learnable rows of each language, all of a rarer one, chosen by a hash of the id."""
+    rows = documents.where(F.col("lang").isNotNull() & learnable())
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("size")).orderBy(F.desc("size"), "lang").limit(MOST_LANGS)  # short rows
+    scale = 1 << 30
+    part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(scale))
+    chosen = rows.where("text is not null").select("doc_id", "text", "lang").join(F.broadcast(sizes), "lang").where(part * F.col("size") < float(bound * scale))
+    return chosen.select("lang", "text")
+
+
 def learn(documents: DataFrame, bound: int = LEARN_DOCS) -> dict[str, list[int]]:
-    """Profiles {language: codes by rank} from the learnable rows, at most about ``bound`` of them."""
-    rows = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable())
-    rows = bounded_sample(rows, "doc_id", bound).select("lang", "text")
+    """Profiles {language: codes by rank} from the learnable rows, about ``bound`` of each language at most."""
+    rows = _learnable_rows(documents, bound)
 
     def count(batch: pa.RecordBatch):
         langs, texts = batch.column("lang").to_pylist(), batch.column("text")
