@@ -4,7 +4,12 @@ Each rule's regex is turned into a Boolean query over trigrams that every match
 The index is document-partitioned: each slice of texts gets postings (trigram to texts) for the
 trigrams that any rule asks for, the queries intersect and unite them, and only the candidates
 are verified by the regex, over their whole text.  Rules without mandatory trigrams scan all
-texts.  Trigrams are of UTF-8 bytes with A-Z folded, so a posting never misses a match.
+texts; one that can only match inside a run of given bytes says so (``Rule.run``), and the scan for
+such runs is a pass over the bytes.  Trigrams are of UTF-8 bytes with A-Z folded, so a posting never
+misses a match; letters that a pattern folds beyond ASCII are taken for anything.
+
+Patterns are written so that a match is tried at most once for each run of the characters they
+begin with: the time for one text follows its length.
 
 Kinds, in the order that breaks ties of equal start: ``KINDS``.  Spans are code points with an
 exclusive end.  Defined results: null text is empty text; matches of one kind never overlap
@@ -34,26 +39,30 @@ _MOST = 24
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: matches of ``pattern`` for which ``holds`` is true."""
+    """A kind of secret: matches of ``pattern`` for which ``holds`` is true.
+
+    ``run``: bytes and a number; every match that holds lies in a run of at least so many of these bytes.
+    """
 
     kind: str
     pattern: str
     holds: Callable[[re.Match], bool] = lambda m: True
+    run: tuple[bytes, int] | None = None
 
 
 BASE = (
     Rule("assign", r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 6),
     Rule("access", r"AKIA[A-Z0-9]+", lambda m: m.end() - m.start() >= 20),
-    Rule("hex", r"[0-9a-f]+", lambda m: m.end() - m.start() >= 24),
+    Rule("hex", r"[0-9a-f]+", lambda m: m.end() - m.start() >= 24, (b"0123456789abcdef", 24)),
 )
 ADDED = (
     Rule("private", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
     Rule("hosting", r"gh[opsur]_[A-Za-z0-9]{36}"),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("chat", r"(?<![A-Za-z0-9-])xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("payment", r"[prs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     Rule("bearer", r"(?ai:authorization: bearer) [A-Za-z0-9._~+/-]{16,}"),
-    Rule("login", r"[a-z]+://[A-Za-z0-9._-]+:[A-Za-z0-9._~!*-]{4,}@[A-Za-z0-9.-]+"),
+    Rule("login", r"(?<![a-z])[a-z]+://[A-Za-z0-9._-]+:[A-Za-z0-9._~!*-]{4,}@[A-Za-z0-9.-]+"),
 )
 KINDS = tuple(r.kind for r in BASE + ADDED)
 
@@ -119,32 +128,36 @@ def _either(parts: list[_Part]) -> _Part:
     return _Part(None, set().union(*(p.prefix for p in parts)), set().union(*(p.suffix for p in parts)), _join("or", [p.match for p in parts]))
 
 
-def _fold(c: int) -> bytes:
-    return chr(c).encode().lower()
+def _literal(points: list[int], folded: bool) -> _Part:
+    """One of the characters; ``folded`` if the pattern ignores case beyond ASCII, where k, s and i have relatives."""
+    if folded and any(c > 127 or chr(c) in "kKsSiI" for c in points):
+        return _anything()
+    return _Part({chr(c).encode().lower() for c in points}, set(), set())  # lower() of bytes is that of A-Z
 
 
-def _walk(seq) -> _Part:
+def _walk(seq, flags: int) -> _Part:
     out = _Part({b""}, set(), set())
+    folded = bool(flags & re.IGNORECASE) and not flags & re.ASCII
     for op, arg in seq:
         if op is sre.LITERAL:
-            part = _Part({_fold(arg)}, set(), set())
+            part = _literal([arg], folded)
         elif op is sre.IN and arg[0][0] is not sre.NEGATE and all(k is sre.LITERAL for k, _ in arg):
-            part = _Part({_fold(c) for _, c in arg}, set(), set())
+            part = _literal([c for _, c in arg], folded)
         elif op is sre.SUBPATTERN:
-            part = _walk(arg[3])
+            part = _walk(arg[3], (flags | arg[1]) & ~arg[2])
         elif op is sre.BRANCH:
-            part = _either([_walk(p) for p in arg[1]])
+            part = _either([_walk(p, flags) for p in arg[1]])
         elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
             low, high, inner = arg
-            one = _walk(inner)
+            one = _walk(inner, flags)
             if low == 0:
                 part = _either([one, _Part({b""}, set(), set())]) if high == 1 else _anything()
             elif low == high == 1:
                 part = one
             else:
                 part = _open(one)
-        elif op is sre.AT:
-            continue
+        elif op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+            continue  # takes no characters
         else:
             part = _anything()
         out = _concat(out, part)
@@ -153,7 +166,8 @@ def _walk(seq) -> _Part:
 
 def trigram_query(pattern: str) -> Query:
     """The trigrams that every match of the pattern contains, as a Boolean query over folded bytes."""
-    return _open(_walk(parser.parse(pattern))).match
+    tree = parser.parse(pattern)
+    return _open(_walk(tree, tree.state.flags)).match
 
 
 def _leaves(q: Query) -> set[bytes]:
@@ -202,34 +216,29 @@ class Scanner:
         found: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
         postings = self.postings(data, offsets)
         for k, (rule, regex, query) in enumerate(zip(self.rules, self.regex, self.queries, strict=True)):
-            if rule.kind == "hex":
-                regex_at = _long_runs(data, offsets)
-            else:
-                regex_at = np.flatnonzero(self.candidates(query, postings, n))
-            for i in regex_at.tolist():
+            maybe = self.candidates(query, postings, n)
+            if rule.run is not None:
+                maybe = maybe & _long_runs(data, offsets, *rule.run)
+            for i in np.flatnonzero(maybe).tolist():
                 found[i] += [(m.start(), k, m.end()) for m in regex.finditer(texts[i] or "") if rule.holds(m)]
         for spans in found:
             spans.sort()
         return found
 
 
-_HEX = np.zeros(256, dtype=bool)
-_HEX[np.frombuffer(b"0123456789abcdef", dtype=np.uint8)] = True
-
-
-def _long_runs(data: np.ndarray, offsets: np.ndarray, least: int = 24) -> np.ndarray:
-    """Full scan of all bytes for the rule without trigrams: texts with a run of ``least`` hex digits (runs across two texts give a false candidate only)."""
-    other = np.flatnonzero(~_HEX[data])
-    edge = np.r_[-1, other, len(data)]
+def _long_runs(data: np.ndarray, offsets: np.ndarray, of: bytes, least: int) -> np.ndarray:
+    """Which texts may have a run of ``least`` of the given bytes (runs across two texts give a false candidate only)."""
+    inside = np.zeros(256, dtype=bool)
+    inside[np.frombuffer(of, dtype=np.uint8)] = True
+    edge = np.r_[-1, np.flatnonzero(~inside[data]), len(data)]
     long = np.flatnonzero(np.diff(edge) > least)
-    starts = edge[long] + 1
-    ends = edge[long + 1]
-    texts: set[int] = set()
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        lo = int(np.searchsorted(offsets, a, side="right")) - 1
-        hi = int(np.searchsorted(offsets, b, side="left"))
-        texts.update(range(max(lo, 0), hi))
-    return np.array(sorted(texts), dtype=np.int64)
+    n = len(offsets) - 1
+    first = np.maximum(np.searchsorted(offsets, edge[long] + 1, side="right") - 1, 0)
+    last = np.minimum(np.searchsorted(offsets, edge[long + 1], side="left"), n)
+    mark = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(mark, first, 1)
+    np.add.at(mark, last, -1)
+    return np.cumsum(mark)[:n] > 0
 
 
 def label(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:

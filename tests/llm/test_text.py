@@ -213,6 +213,27 @@ def test_index_finds_what_scanning_finds(docs, empty):
     assert sec.find_secrets(docs).count() == len(TEXTS) and sec.find_secrets(empty).count() == 0
 
 
+def test_rules_take_linear_time():
+    """Long runs of what each rule begins with."""
+    scanner = sec.Scanner()
+    for part in ("a", "http://x ", "eyJ", "xoxb-", "token ", "-----BEGIN AA ", "0a", "AKIA", "rk_live_", "a:/", "a://b:"):
+        text = "http://x eyJ.eyJ password " + part * (1_000_000 // len(part))
+        begun = time.time()
+        for _, _, data, offsets in vec.slices(pa.array([text], pa.string())):
+            scanner([text], data, offsets)
+        assert time.time() - begun < 5, part
+
+
+def test_folding_beyond_ascii_never_misses():
+    assert sec.trigram_query("(?i)ÉCOLE") == ("and", (b"col", b"ole"))
+    assert sec.trigram_query("(?i)task") is True and set(sec.trigram_query("(?ai)task")[1]) == {b"tas", b"ask"}
+    rule = sec.Rule("x", "(?i)Él[è]ve=[0-9]{4}")
+    for text in ("élève=1234", "ÉLÈVE=1234"):
+        for _, _, data, offsets in vec.slices(pa.array([text], pa.string())):
+            assert sec.Scanner((rule,))([text], data, offsets) == [[(0, 0, 10)]]
+    assert sec.trigram_query("(?<!x)abc(?=d)") == b"abc"
+
+
 def test_queries_of_patterns():
     assert sec.trigram_query("abc") == b"abc"
     assert sec.trigram_query("[0-9a-f]+") is True
