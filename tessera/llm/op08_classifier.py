@@ -6,8 +6,9 @@ projected, its exact cosine products with all labelled vectors are computed bloc
 its ``NEIGHBOURS`` most alike vote with their label, weighted by similarity.
 
 Defined results: a text without terms (null, empty, blank) scores the share of label 1 in the
-sample; without any labelled row every text scores 0.5; scores are rounded to six digits; the
-order of equally similar neighbours follows the labelled doc_id.  Labels enter only through rows
+sample; without any labelled row every text scores 0.5; scores are rounded to six digits; of
+equally similar neighbours (similarities are rounded to nine digits) the smaller labelled doc_id
+votes first.  Labels enter only through rows
 that may be learned from, never as inputs of a score.  Only doc_id and text (and labels' doc_id and
 label) are read.
 """
@@ -36,7 +37,7 @@ class Voter:
         self.idf = s.idf
         self.space = terms.latent(s, min(dims, s.n))
         self.label = np.array([x == "1" for x in s.label], dtype=np.float32)
-        self.known = _unit(s.times(self.space))
+        self.known = _unit(s.times(self.space).astype(np.float64))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
@@ -46,18 +47,23 @@ class Voter:
         weight = terms.weigh(text, term, tf, self.idf, n)
         x = terms.segment_sum(text, term, weight, self.space, n)
         blank = np.einsum("ij,ij->i", x, x) < 1e-12
-        x = _unit(x)
+        x = _unit(x.astype(np.float64))
         out = np.empty(n)
-        k = min(NEIGHBOURS, self.n)
         for lo in range(0, n, 256):
-            near = x[lo : lo + 256] @ self.known.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            vote = np.maximum(np.take_along_axis(near, top, axis=1), 1e-3) ** POWER
-            out[lo : lo + 256] = (vote * self.label[top]).sum(axis=1) / vote.sum(axis=1)
+            out[lo : lo + 256] = vote(x[lo : lo + 256] @ self.known.T, self.label)
         out[blank] = self.prior
         return np.round(np.clip(out, 0, 1), 6)
 
 
+def vote(near: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The share of label 1 among the nearest of each row of similarities, weighted by a power of them."""
+    k = min(NEIGHBOURS, near.shape[1])
+    rank = np.rint(near * 1e9).astype(np.int64) * (1 << 20) - np.arange(near.shape[1])  # at most 2^20 labelled rows
+    top = np.sort(np.argpartition(-rank, k - 1, axis=1)[:, :k], axis=1)
+    weight = np.maximum(np.rint(np.take_along_axis(near, top, axis=1) * 1e9) / 1e9, 1e-3) ** POWER
+    return (weight * label[top]).sum(axis=1) / weight.sum(axis=1)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 

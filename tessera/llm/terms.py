@@ -98,10 +98,14 @@ def segment_sum(row: np.ndarray, column: np.ndarray, weight: np.ndarray, dense:
 
 
 def sample(documents: DataFrame, labels: DataFrame, label: str, bound: int) -> Sample:
-    """About ``bound`` learnable documents with a non-null label (an SQL expression over labels)."""
+    """About ``bound`` learnable documents with a non-null label (an SQL expression over labels).
+
+    A doc_id counts once, however often it is repeated: with its largest label and the text of least hash.
+    """
     marked = labels.select("doc_id", F.expr(label).cast("string").alias("label")).where(F.col("label").isNotNull() & learnable())
-    marked = bounded_sample(marked, "doc_id", bound).groupBy("doc_id").agg(F.max("label").alias("label"))
+    marked = bounded_sample(marked.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", bound)
     rows = documents.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # at most about ``bound`` short rows
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def work(batch: pa.RecordBatch):
         for lo, hi, data, offsets in vec.slices(batch.column("text")):

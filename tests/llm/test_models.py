@@ -1,9 +1,12 @@
 """Quality statistics, outliers, languages, votes, mixing, URLs and the pipeline."""
 
+import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from tessera.llm import op03_quality as qual
 from tessera.llm import op04_urls as urls
 from tessera.llm import op08_classifier as votes
 from tessera.llm import op09_language as lang
+from tessera.llm import terms, vec
 
 from .conftest import words
 
@@ -72,6 +76,13 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge(pages, urls.rule_table(spark).limit(0)).collect()} == {"allow"}
 
 
+def test_a_host_of_thousands_of_labels_costs_no_more(spark):
+    begun = time.time()
+    pages = spark.createDataFrame([(1, "u://" + "a." * 100_000 + "example.net/en/1"), (2, "u://" + "." * 10_000), (3, "u://" + "x" * 100_000 + "/" + "y" * 100_000)], "page_id long, url string")
+    assert [r.rule for r in urls.judge(pages, urls.rule_table(spark)).orderBy("page_id").collect()] == ["example.net/en/", None, None]
+    assert time.time() - begun < 30
+
+
 def test_longest_rule_wins_whatever_its_path(spark):
     rules = spark.createDataFrame([("b.c", "/x", "block"), ("c", "/xy/z", "allow"), ("c", "", "block")], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "u://a.b.c/xy/z1"), (2, "u://b.c/xa"), (3, "u://d.c")], "page_id long, url string")
@@ -95,6 +106,45 @@ def test_ngram_counts_follow_the_definition(rows):
         assert sorted(got.values()) == sorted(want.values())
 
 
+def plain_language(text, profiles):
+    """Smallest out-of-place distance over names in order; profiles and texts as ranked lists of n-gram strings."""
+    ranks = {g: i for i, g in enumerate(text)}
+    far = {}
+    for name, profile in profiles.items():
+        at = {g: i for i, g in enumerate(profile)}
+        far[name] = sum(abs(at[g] - r) if g in at else lang.PROFILE for g, r in ranks.items())
+    best = min(sorted(far), key=lambda n: far[n])
+    return best, 1 - far[best] / (lang.PROFILE * len(ranks))
+
+
+def test_distances_are_those_of_plain_rank_lists(rows):
+    """Ranks from string counts; the order among equal counts is taken from the operator's codes."""
+    texts = [r[1] for r in rows if 0 < len(r[1] or "") < 3000 and any(c.isalpha() for c in r[1])]
+    ids, codes = lang.grams(texts)
+    ids, hashes, rank = lang.ranked(ids, codes)
+    lists = [hashes[ids == i][np.argsort(rank[ids == i])].tolist() for i in range(len(texts))]
+    for text, ranked in zip(texts, lists, strict=True):
+        counts = sorted(plain_ranks(text).values(), reverse=True)[: lang.PROFILE]
+        assert len(ranked) == len(counts)
+    profiles = {"b": lists[0], "a": lists[0], "c": lists[1], "d": lists[5]}
+    got, score = lang.Judge(profiles)(texts)
+    for ranked, name, x in zip(lists, got, score.tolist(), strict=True):
+        want, close = plain_language(ranked, profiles)
+        assert name == want and abs(x - close) < 1e-9
+    assert got[0] == "a"
+
+
+def test_a_rare_language_is_learned_whole(spark, monkeypatch):
+    draw = random.Random(1)
+    text = lambda letters: " ".join("".join(draw.choices(letters, k=5)) for _ in range(40))
+    rows = [(i, text("abcde"), "xx") for i in range(400)] + [(1000 + i, text("mnopq"), "yy") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in lang.languages(docs, 20).collect()}
+    assert all(got[i] == name for i, _, name in rows)
+    monkeypatch.setattr(lang, "MOST_LANGS", 1)
+    assert {r.lang_pred for r in lang.languages(docs, 20).collect()} == {"xx"}
+
+
 def test_languages(docs, rows, empty):
     out = lang.languages(docs).collect()
     assert len(out) == len(rows)
@@ -120,6 +170,49 @@ def test_votes(spark, docs, labels, rows, empty):
     assert votes.classify(empty, labels).count() == 0
 
 
+def plain_vote(similarities, labels):
+    """The votes of the nearest, one by one."""
+    order = sorted(range(len(labels)), key=lambda i: (-round(similarities[i] * 1e9), i))[: votes.NEIGHBOURS]
+    weight = [max(round(similarities[i] * 1e9) / 1e9, 1e-3) ** votes.POWER for i in order]
+    return sum(w for w, i in zip(weight, order) if labels[i]) / sum(weight)
+
+
+def test_votes_are_those_of_the_nearest():
+    """Ties, fewer rows than votes, and texts scored by hand from their vectors."""
+    rng = np.random.default_rng(3)
+    near = np.round(rng.uniform(-1, 1, (40, 90)), 1)
+    label = (rng.random(90) < 0.4).astype(np.float32)
+    assert np.allclose(votes.vote(near, label), [plain_vote(row.tolist(), label.tolist()) for row in near])
+    assert np.allclose(votes.vote(near[:, :7], label[:7]), [plain_vote(row[:7].tolist(), label[:7].tolist()) for row in near])
+
+
+def test_scores_are_votes_over_cosines(spark, docs, labels, rows):
+    """Whole texts through the operator against cosines computed one pair at a time."""
+    s = terms.sample(docs, labels, "quality", 3000)
+    voter = votes.Voter(s)
+    texts = [r[1] for r in rows]
+    out = {}
+    for lo, hi, data, offsets in vec.slices(pa.array(texts, pa.string())):
+        text, term, tf, _ = terms.count(data, offsets)
+        weight = terms.weigh(text, term, tf, s.idf, hi - lo)
+        x = np.zeros((hi - lo, voter.space.shape[1]))
+        for t, k, w in zip(text, term, weight, strict=True):
+            x[t] += w * voter.space[k].astype(float)
+        for i in range(hi - lo):
+            size = np.sqrt(sum(v * v for v in x[i]))
+            out[lo + i] = plain_vote([sum(a * b for a, b in zip(x[i] / size, known)) for known in voter.known], voter.label.tolist()) if size > 1e-6 else voter.prior
+    got = Counter((r.doc_id, round(r.score, 3)) for r in votes.classify(docs, labels).collect())
+    want = Counter((rows[i][0], round(x, 3)) for i, x in out.items())
+    assert sum((got - want).values()) <= 1  # one may round to the other side
+
+
+def test_the_sample_counts_a_repeated_document_once(spark):
+    docs = spark.createDataFrame([(0, f"text {i % 7}") for i in range(500)] + [(i, "x y") for i in range(4, 10)], "doc_id long, text string")
+    marks = spark.createDataFrame([(0, 1)] * 50 + [(i, 0) for i in range(4, 10)], "doc_id long, quality int")
+    first, again = (terms.sample(docs.repartition(n), marks, "quality", 100) for n in (1, 5))
+    assert first.n <= 7 and first.label == again.label and (first.term == again.term).all()
+
+
 def test_votes_hold_on_unseen_rows(spark):
     rng = np.random.default_rng(5)
     vocab = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
