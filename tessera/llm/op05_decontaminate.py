@@ -7,7 +7,7 @@ fixes the window's place, which must lie inside the text (length and positional
 word of the window is then compared.
 
 Benchmark and documents are both tables, of any size.  No index is held anywhere: each pass over
-the documents carries a bit table (at most ``1 << MOST_BITS`` bits, 16 MB) that turns away words whose
+the documents carries a bit table (at most ``1 << MOST_BITS`` bits, 32 MB) that turns away words whose
 token no window has, and an equi-join decides.  A wrong bit costs a row in that join.  Candidates
 carry the words around them, and results go back by a key of the text (128 bits), so copies of a
 text are verified once and no text is shuffled; rows without a candidate are not joined at all.
@@ -31,8 +31,8 @@ from .common import map_arrow, stash
 
 WINDOW = 10
 SHINGLE = 3
-#: Bits of the table that turns words away: 8 for each token, within these powers of two.
-LEAST_BITS, MOST_BITS = 16, 27
+#: Bits of the table that turns words away: over 1,000 for each token, within these powers of two; a token has two.
+LEAST_BITS, MOST_BITS = 20, 28
 _TEXT = ["t1", "t2"]
 _KEY = ["k1", "k2"]
 
@@ -93,16 +93,20 @@ class Bits:
 
     def __init__(self, rows: DataFrame):
         n, sizes = rows.agg(F.count(F.lit(1)), F.collect_set("s")).first()
-        self.sizes, self.size = sorted(sizes), 1 << min(max((8 * n).bit_length(), LEAST_BITS), MOST_BITS)
-        slot = F.col("h").bitwiseAND(F.lit(self.size - 1))
-        held = rows.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, CAST(h & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # size / 64 rows at most
+        self.sizes, self.size = sorted(sizes), 1 << min(max(n.bit_length() + 10, LEAST_BITS), MOST_BITS)
+        slots = rows.select(F.explode(F.array("h", F.shiftright("h", 32))).alias("h")).select(F.col("h").bitwiseAND(F.lit(self.size - 1)).alias("slot"))
+        held = slots.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("b")).toArrow()  # size / 64 rows at most
         table = np.zeros(self.size // 64, dtype=np.int64)
         table[held["w"].to_numpy()] = held["b"].to_numpy()
         self.table = table.view(np.uint8)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        slot = h & vec.U64(self.size - 1)
-        return np.flatnonzero(self.table[(slot >> vec.U64(3)).astype(np.int64)] >> (slot & vec.U64(7)).astype(np.uint8) & 1)
+        at = self._set(h)
+        return at[self._set(h[at].view(np.int64) >> 32)]
+
+    def _set(self, h: np.ndarray) -> np.ndarray:
+        slot = h.view(np.int64) & (self.size - 1)
+        return np.flatnonzero(self.table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
 
     def hits(self, words: vec.Words):
         """(positions, hashes) of the shingles of a slice that pass, for each length."""

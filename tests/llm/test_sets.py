@@ -235,7 +235,7 @@ def plain_hits(rows, items, size):
 @pytest.mark.parametrize("bits", [27, 3])
 def test_decontamination(spark, docs, rows, bits, monkeypatch):
     """With few bits nearly every word is a candidate; the join decides the same."""
-    monkeypatch.setattr(dec, "LEAST_BITS", min(bits, 16))
+    monkeypatch.setattr(dec, "LEAST_BITS", min(bits, 20))
     monkeypatch.setattr(dec, "MOST_BITS", max(bits, 6))
     text = words(rows[5][1])
     items = [("1", " ".join(text[-30:])), ("2", "The THING"), ("3", None), (None, "house river"), ("10", ""), ("4", " ".join(words(rows[0][1])[:11]).upper()), ("1", "文章"), ("20", "no such words at all in any of these texts, none"), ("x,y", "the water"), ("x", "thing the"), ("é", "the thing")]
