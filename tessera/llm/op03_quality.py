@@ -3,24 +3,31 @@
 Every text gets rule statistics from column expressions: words, their characters, symbols,
 repeated lines, words in repeated 3-word windows.  A text fails the base rules with too few words
 or too much repetition.  The others are judged by a transformed vector of five statistics: for each
-language and source the minimum-covariance-determinant estimate (mean and covariance of the
-``SHARE`` most central texts, found by concentration steps from the coordinate medians) gives a
-Mahalanobis distance, and texts too far out are rejected.
-
-The statistics are written once to the shared folder; the concentration steps run on that narrow
-table as partial aggregates by group, so a group with a third of all rows is summed before it is
-shuffled.  The estimates come back by a join on the group, salted so that a hot group is dealt
-over ``SALT`` keys.
-
-Defined results: null text has no words, hence fails; null lang or source is a group of its own;
-groups of fewer than ``LEAST`` texts use the estimate of all texts; a coordinate that does not
-vary in its group gets the ``FLOOR`` deviation, so constant groups reject only what is far off
-on its own scale; an empty table gives an empty result.  Windows are compared by a 64-bit hash
-within one text.  Only doc_id, text, lang and source are read.
+language and source the minimum-covariance-determinant estimate gives a Mahalanobis distance, and
+texts too far out are rejected.
+
+The estimate is the mean and covariance of the ``SHARE`` of the texts whose covariance has the least
+determinant.  Concentration steps (estimate, distances, the nearest share, estimate again) never
+raise the determinant; they go on from four starts, the least determinant wins and is followed until
+it settles.  It is then scaled to be consistent for normal data, and reweighted: mean and covariance
+of all texts within the ``WITHIN`` quantile.  All texts together are one more group, estimated in the
+same steps; it stands in for groups of fewer than ``LEAST`` texts.
+
+The statistics are written once to the shared folder; the steps run on that narrow table as partial
+aggregates by group, so a group with a third of all rows is summed before it is shuffled.  The
+estimates come back by a join on the group, salted so that a hot group is dealt over ``SALT`` keys.
+
+Defined results: null text has no words, hence fails; null lang or source is a group of its own; a
+coordinate's variance is at least the square of its ``FLOOR``, so where a group's texts are all
+alike in it, a text is rejected for what is far off on that scale; quantiles are taken to one part
+in a thousand; an empty table gives an empty result.  Windows are compared by a 64-bit hash within
+one text.  Only doc_id, text, lang and source are read.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,12 +37,12 @@ from .common import stash
 
 #: Base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Central share of a group, concentration steps, least group, salt.
-SHARE, STEPS, LEAST, SALT = 0.75, 4, 50, 32
-#: Squared distance beyond which a text is rejected; a little over 35.9, the 1 - 1e-6 quantile of chi-square with five degrees.
-FAR = 40.0
+#: Central share of a group, steps that all starts take, most steps of the best, the fall of the log determinant that counts as settled.
+SHARE, TRIES, MOST_STEPS, SETTLED = 0.75, 2, 10, 1e-3
+#: Quantile for reweighting, least group, salt.
+WITHIN, LEAST, SALT = 0.975, 50, 8
 #: Least deviation of each coordinate, in its own unit.
-FLOOR = (0.5, 0.35, 0.25, 0.25, 0.5)
+FLOOR = (0.25, 0.05, 0.1, 0.1, 0.35)
 _DIM = len(FLOOR)
 _BLANK = "[ \\x09-\\x0D]"
 
@@ -75,22 +82,47 @@ def _names(kind: str) -> list[str]:
     return [f"{kind}{i}" for i in range(_DIM)]
 
 
+def chi_square(x: float, degrees: int) -> float:
+    """The distribution function for an odd number of degrees of freedom."""
+    term, total = math.sqrt(2 * x / math.pi) * math.exp(-x / 2), math.erf(math.sqrt(x / 2))
+    for k in range(1, degrees - 1, 2):
+        total, term = total - term, term * x / (k + 2)
+    return total
+
+
+def quantile(p: float, degrees: int = _DIM) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, degrees) < p else (low, middle)
+    return high
+
+
+def consistency(share: float) -> float:
+    """What the covariance of the ``share`` most central points of a normal distribution must be scaled by."""
+    return share / chi_square(quantile(share), _DIM + 2)
+
+
+#: Squared distance beyond which a text is rejected: one in ten thousand of normal data.
+FAR = quantile(1 - 1e-4)
 _PAIRS = [(i, j) for i in range(_DIM) for j in range(i + 1)]
+_GROUP = ["g_lang", "g_source"]
+_KEY = [*_GROUP, "start"]
+_FACTOR = [f"l{i}_{j}" for i, j in _PAIRS]
+_ESTIMATE = [*_names("m"), *_FACTOR]
 
 
-def _moments(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Count, means and a covariance with floored deviations of each group."""
-    sums = [F.count(F.lit(1)).alias("n"), *(F.avg(f"x{i}").alias(f"m{i}") for i in range(_DIM)), *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in _PAIRS)]
-    out = rows.groupBy(*key).agg(*sums)
-    return out.withColumns({f"c{i}_{i}": F.col(f"c{i}_{i}") + F.lit(FLOOR[i] ** 2) for i in range(_DIM)})
+def _covariances(of: Callable[[int], Column]) -> list[Column]:
+    return [F.covar_pop(of(i), of(j)).alias(f"c{i}_{j}") for i, j in _PAIRS]
 
 
-def _cholesky(of: DataFrame) -> DataFrame:
-    """Adds the lower factor l of each group's covariance; the floor keeps it positive definite."""
+def _factor(of: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Adds the lower factor l of each group's scaled covariance, variances raised to the least ones, and the logarithm of its determinant."""
+    of = of.withColumns({f"c{i}_{j}": F.greatest(F.col(f"c{i}_{j}") * scale, F.lit(FLOOR[i] ** 2)) if i == j else F.col(f"c{i}_{j}") * scale for i, j in _PAIRS})
     for i, j in _PAIRS:
         rest = reduce(lambda a, k: a - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}"), range(j), F.col(f"c{i}_{j}"))
-        of = of.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}_{j}"))
-    return of.drop(*(f"c{i}_{j}" for i, j in _PAIRS))
+        of = of.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-3 * FLOOR[i] ** 2))) if i == j else rest / F.col(f"l{j}_{j}"))
+    return of.drop(*(f"c{i}_{j}" for i, j in _PAIRS)).withColumn("logdet", reduce(lambda a, i: a + 2 * F.log(f"l{i}_{i}"), range(_DIM), F.lit(0.0)))
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -101,14 +133,78 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d", reduce(lambda a, k: a + F.col(f"z{k}") * F.col(f"z{k}"), range(1, _DIM), F.col("z0") * F.col("z0"))).drop(*_names("z"))
 
 
-_GROUP = ["g_lang", "g_source"]
-_ESTIMATE = [*_names("m"), *(f"l{i}_{j}" for i, j in _PAIRS)]
+def _with(rows: DataFrame, of_group: DataFrame) -> DataFrame:
+    """Each row with what belongs to its group, once for every start there is, over salted keys."""
+    salted = of_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.join(salted, [*_GROUP, "salt"])
 
 
-def _with_estimates(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Each row with its group's estimate, over salted keys."""
-    salted = estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return rows.join(salted, [*_GROUP, "salt"])
+def starts(rows: DataFrame) -> DataFrame:
+    """Four centres and factors to begin from for each group (g_lang, g_source, start, m, l).
+
+    0: means and covariance; 1: medians and deviations from them; 2: medians and the covariance of
+    spatial signs; 3: medians and that of squashed scores.  From each, concentration goes downhill
+    to a determinant of its own.
+    """
+    middle = rows.groupBy(*_GROUP).agg(*(F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(_DIM)), *(F.avg(f"x{i}").alias(f"a{i}") for i in range(_DIM)), *_covariances(lambda i: F.col(f"x{i}")))
+    middle = stash(middle, "mcd")
+    far = _with(rows, middle.select(*_GROUP, *_names("m")))
+    spread = far.groupBy(*_GROUP).agg(*(F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000), F.lit(FLOOR[i])).alias(f"s{i}") for i in range(_DIM)))
+    middle = stash(middle.join(spread, _GROUP), "mcd")
+    score = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}") for i in range(_DIM)]
+    scored = _with(rows, middle.select(*_GROUP, *_names("m"), *_names("s"))).select(*_GROUP, *(z.alias(f"z{i}") for i, z in enumerate(score)))
+    scored = scored.withColumn("length", F.sqrt(reduce(lambda a, i: a + F.col(f"z{i}") * F.col(f"z{i}"), range(_DIM), F.lit(1e-12))))
+    shape = scored.groupBy(*_GROUP).agg(*(F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.col("length") / F.col("length")).alias(f"u{i}_{j}") for i, j in _PAIRS), *(F.covar_pop(F.tanh(f"z{i}"), F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in _PAIRS))
+    all_of = middle.join(shape, _GROUP)
+    one = {
+        0: lambda i, j: F.col(f"c{i}_{j}"),
+        1: lambda i, j: F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0),
+        2: lambda i, j: _DIM * F.col(f"s{i}") * F.col(f"s{j}") * F.col(f"u{i}_{j}"),
+        3: lambda i, j: F.col(f"s{i}") * F.col(f"s{j}") * F.col(f"t{i}_{j}"),
+    }
+    rows_of = [F.struct(F.lit(k).alias("start"), *(F.col(f"{'a' if k == 0 else 'm'}{i}").alias(f"m{i}") for i in range(_DIM)), *(c(i, j).alias(f"c{i}_{j}") for i, j in _PAIRS)) for k, c in one.items()]
+    return _factor(all_of.select(*_GROUP, F.explode(F.array(*rows_of)).alias("e")).select(*_GROUP, "e.*"))
+
+
+def _moments(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"x{i}").alias(f"m{i}") for i in range(_DIM)), *_covariances(lambda i: F.col(f"x{i}")))
+
+
+def concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """One step: mean and covariance of the ``SHARE`` points nearest by the estimate before."""
+    near = _distance(_with(rows, estimates.select(*_KEY, *_ESTIMATE)))
+    cut = near.groupBy(*_KEY).agg(F.percentile_approx("d", SHARE, 1000).alias("cut"))
+    salted = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return stash(_factor(_moments(near.join(salted, [*_KEY, "salt"]).where("d <= cut"))), "mcd")
+
+
+def determinants(rows: DataFrame) -> DataFrame:
+    """The minimum-covariance-determinant estimate of each group (g_lang, g_source, start, n, m, l, logdet) of rows (x, g_lang, g_source, salt).
+
+    All starts are concentrated ``TRIES`` times; the one of least determinant goes on until no group's
+    determinant falls by more than ``SETTLED`` of itself, ``MOST_STEPS`` times at most.
+    """
+    held = starts(rows)
+    for _ in range(TRIES):
+        held = concentrate(rows, stash(held, "mcd"))
+    held = held.groupBy(*_GROUP).agg(F.min(F.struct("logdet", "start", "n", *_ESTIMATE)).alias("e")).select(*_GROUP, "e.*")
+    for _ in range(MOST_STEPS):
+        new = concentrate(rows, held)
+        old = held.select(*_GROUP, F.col("logdet").alias("before"))
+        moved = new.join(old, _GROUP).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]  # one number
+        held = new
+        if moved is None or moved <= SETTLED:
+            break
+    return held
+
+
+def robust(rows: DataFrame) -> DataFrame:
+    """The estimates made consistent, and reweighted: mean and covariance of all points within the ``WITHIN`` quantile of the scaled estimate."""
+    raw = determinants(rows)
+    wide = math.sqrt(consistency(SHARE))
+    raw = raw.select(*_KEY, *_names("m"), *((F.col(c) * wide).alias(c) for c in _FACTOR))
+    inside = _distance(_with(rows, raw)).where(F.col("d") <= quantile(WITHIN))
+    return stash(_factor(_moments(inside), consistency(WITHIN)), "mcd")
 
 
 def outliers(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,20 +213,13 @@ def outliers(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
         {"g_lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")), "g_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "salt": F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALT)).cast("int")}
     )
     judged = rows.where(~F.col("base_failed"))
-    middle = judged.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(_DIM)))
-    unit = middle.withColumns({f"c{i}_{j}": F.lit(FLOOR[i] ** 2 if i == j else 0.0) for i, j in _PAIRS})
-    estimates = _cholesky(unit)
-    for _ in range(STEPS):
-        estimates = stash(estimates, "mcd")
-        near = _distance(_with_estimates(judged, estimates.select(*_GROUP, *_ESTIMATE)))
-        cut = near.groupBy(*_GROUP).agg(F.percentile_approx("d", SHARE, 1000).alias("cut"))
-        salted = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        estimates = _cholesky(_moments(near.join(salted, [*_GROUP, "salt"]).where("d <= cut"), _GROUP))
-    estimates = stash(estimates, "mcd")
-    overall = _cholesky(_moments(judged, [])).select(*_ESTIMATE).first()  # one row of numbers
-    filled = estimates.select(*_GROUP, *(F.when(F.col("n") >= int(LEAST * SHARE), F.col(c)).otherwise(F.lit(overall[c])).alias(c) for c in _ESTIMATE))
-    far = _distance(_with_estimates(judged, filled))
-    return far, rows.where("base_failed")
+    everyone = F.struct(F.lit("*").alias("g_lang"), F.lit("*").alias("g_source"))
+    points = judged.select("salt", *_names("x"), F.explode(F.array(F.struct(*_GROUP), everyone)).alias("g")).select("salt", *_names("x"), "g.*")
+    sizes = points.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("size"))
+    found = robust(points).join(sizes, _GROUP).select(*_GROUP, "size", F.struct(*_ESTIMATE).alias("e"))
+    overall = found.where("g_lang = '*'").select(F.col("e").alias("o"))  # one row
+    filled = found.where("g_lang <> '*'").join(F.broadcast(overall)).select(*_GROUP, F.when(F.col("size") >= LEAST, F.col("e")).otherwise(F.col("o")).alias("e")).select(*_GROUP, "e.*")
+    return _distance(_with(judged, stash(filled, "mcd"))), rows.where("base_failed")
 
 
 def quality(documents: DataFrame) -> DataFrame:
