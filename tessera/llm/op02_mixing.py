@@ -15,7 +15,10 @@ stored or shuffled, and only domains x domains numbers reach the driver.
 Defined results: a null or empty text has no tokens and the posteriors of the class shares; a
 corpus without tokens or labels keeps rate 1 for every row; repeated rows have equal rates; null
 doc_id is allowed.  Targets are shares by domain of ``epochs`` times the corpus' tokens; they are
-scaled to sum 1.
+scaled to sum 1.  Where they are out of reach, steps end when one brings less than a thousandth or
+after ``STEPS`` of them, near the least residual and short of the few extreme documents that have it.
+Kept columns may have any names; one named like a column of the result (whatever its case) gives
+way to it.
 """
 
 from __future__ import annotations
@@ -29,14 +32,15 @@ from . import terms, vec
 from .common import map_arrow, stash
 
 LEARN_DOCS = 4000
-#: Domain of a labelled row, and the share of tokens wanted from each domain.
+#: Domain of a labelled row, and the share of tokens wanted from each domain: a choice of the caller's, here mostly
+#: clean text with enough of the rest to be seen.
 DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low' WHEN quality = 1 THEN 'clean' END"
 TARGETS = {"clean": 0.86, "low": 0.08, "toxic": 0.06}
 STEPS, CLOSE = 20, 1e-6
 
 
-def posteriors(documents: DataFrame, labels: DataFrame, domain: str, domains: list[str], bound: int, keep: list[str]) -> DataFrame:
-    """The kept columns with ``_n`` words and ``_p0``, ``_p1``, ... posteriors of each row."""
+def posteriors(rows: DataFrame, text: str, documents: DataFrame, labels: DataFrame, domain: str, domains: list[str], bound: int, keep: list[str]) -> DataFrame:
+    """The kept columns of rows with ``_n`` words and ``_p0``, ``_p1``, ... posteriors of their text; learned from documents and labels."""
     s = terms.sample(documents, labels, domain, bound)
     seen = sorted(set(s.label) & set(domains))
     weights = None
@@ -44,27 +48,26 @@ def posteriors(documents: DataFrame, labels: DataFrame, domain: str, domains: li
         s = terms.Sample([(i, x, *r) for i, (x, r) in enumerate(zip(s.label, _rows(s), strict=True)) if x in seen])
         weights = terms.logistic(s, seen)
     at = [domains.index(x) for x in seen]
-    held = documents.sparkSession.sparkContext.broadcast((weights, s.idf))
+    held = rows.sparkSession.sparkContext.broadcast((weights, s.idf))
     k = len(domains)
-    columns = list(dict.fromkeys([*keep, "text"]))
-    schema = documents.select(*keep).schema
+    schema = rows.select(*keep).schema
     for name, kind in (("_n", "long"), *((f"_p{i}", "double") for i in range(k))):
         schema = schema.add(name, kind)
 
     def work(batch: pa.RecordBatch):
         weights, idf = held.value
-        for lo, hi, data, offsets in vec.slices(batch.column("text")):
+        for lo, hi, data, offsets in vec.slices(batch.column(text)):
             n = hi - lo
-            text, term, tf, words = terms.count(data, offsets)
+            of, term, tf, words = terms.count(data, offsets)
             p = np.full((n, k), 1.0 / k)
             if weights is not None:
-                z = terms.segment_sum(text, term, terms.weigh(text, term, tf, idf, n), weights[:-1], n) + weights[-1]
+                z = terms.segment_sum(of, term, terms.weigh(of, term, tf, idf, n), weights[:-1], n) + weights[-1]
                 p = np.zeros((n, k))
                 p[:, at] = terms.softmax(z.astype(np.float64))
             kept = [batch.column(c).slice(lo, n) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(words), *(pa.array(p[:, i]) for i in range(k))], [*keep, "_n", *(f"_p{i}" for i in range(k))])
 
-    return map_arrow(documents.select(*columns), work, schema)
+    return map_arrow(rows.select(*dict.fromkeys([*keep, text])), work, schema)
 
 
 def _rows(s: terms.Sample):
@@ -129,10 +132,19 @@ def fit(table: DataFrame, targets: list[float], epochs: float = 1.0, steps: int
 def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = DOMAIN, epochs: float = 1.0, bound: int = LEARN_DOCS, keep: list[str] | None = None) -> DataFrame:
     """The kept columns (doc_id alone by default) with n_tokens, p_<domain> and rate of each row."""
     domains = sorted(targets)
-    keep = keep or ["doc_id"]
-    table = stash(posteriors(documents, labels, domain, domains, bound, keep), "posteriors")
+    own = {"n_tokens", "rate", *(f"p_{d}".lower() for d in domains)}
+    keep = [c for c in keep or ["doc_id"] if c.lower() not in own]
+    rows = documents.select(*(documents[c].alias(f"k{i}") for i, c in enumerate(keep)), documents["text"].alias("text"))
+    text = f"k{keep.index('text')}" if "text" in keep else "text"
+    table = stash(posteriors(rows, text, documents, labels, domain, domains, bound, [f"k{i}" for i in range(len(keep))]), "posteriors")
     steps = fit(table, [targets[d] for d in domains], epochs)
-    return table.select(*keep, F.col("_n").alias("n_tokens"), *(F.col(f"_p{i}").alias(f"p_{d}") for i, d in enumerate(domains)), _rate(steps).alias("rate"))
+    return table.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("_n").alias("n_tokens"), *(F.col(f"_p{i}").alias(f"p_{d}") for i, d in enumerate(domains)), _rate(steps).alias("rate"))
+
+
+def mixed(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The documents that the mixture takes, all columns, with what ``mix`` adds and ``copies``; those without a copy go."""
+    names = [c for c in documents.columns if c.lower() != "copies"]
+    return mix(documents, labels, keep=names, **how).withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).where("copies > 0")
 
 
 def copies(rate: Column, key: Column) -> Column:
