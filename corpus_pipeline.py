@@ -8,13 +8,14 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import op01_pii, op02_mixing, op05_decontaminate, op07_near, op09_language
 from tessera.llm.common import stash, table
 
 #: Documents less alike than this to every language are rejected, as are those without letters.
 LEAST_LANGUAGE_SCORE = 0.2
+#: Words of a shingle, as the contract of the near-duplicate query has it.
+SHINGLE_WORDS = 2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    return op07_near.keep_one(docs)
+    """One document of each group of near-duplicates, as operator 7's query finds them (two-word shingles, similarity 0.8)."""
+    return op07_near.keep_one(docs, SHINGLE_WORDS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the copies that bring the corpus to its target weights; those without a copy go."""
-    mixed = op02_mixing.mix(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
-    return mixed.withColumn("copies", op02_mixing.copies(F.col("rate"), F.col("doc_id"))).where("copies > 0")
+    return op02_mixing.mixed(docs, table(spark, sf_dir, "labels"))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("personal_data", personal_data), ("mixture", mixture)]
