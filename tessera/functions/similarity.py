@@ -2,11 +2,15 @@
 
 Everything but the subsequence scores is a column expression.  The four subsequence scores of
 names and of addresses come from one Arrow function (``fuzzy``), whose kernel is the bit-parallel
-longest common subsequence over Python integers, so strings may have any length.
+longest common subsequence: over machine words for a whole batch at a time, and over Python integers
+where the shorter string has more than 64 characters, so strings may have any length.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,50 +101,183 @@ def lcs(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
+_WORD, _ROWS = 64, 2048
+
+
+def _numbered(strings: list[str]) -> np.ndarray:
+    """Rows of code points, padded with 0."""
+    sizes = np.array([len(x) for x in strings], dtype=np.int64)
+    out = np.zeros((len(strings), int(sizes.max(initial=0))), dtype=np.uint32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return out
+
+
+def _codes(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(rows of symbol numbers of either side, how many numbers there are); 0 is padding."""
+    x, y = _numbered(a), _numbered(b)
+    most = int(max(x.max(initial=0), y.max(initial=0)))
+    if most < 128:
+        return x, y, 128
+    seen = np.unique(np.concatenate([[0], x.ravel(), y.ravel()]))
+    return np.searchsorted(seen, x), np.searchsorted(seen, y), len(seen)
+
+
+def _masks(x: np.ndarray, symbols: int) -> np.ndarray:
+    """For each row and symbol a machine word of the places that have it."""
+    at, where = np.arange(len(x)), np.zeros((len(x), symbols), dtype=np.uint64)
+    for j in range(x.shape[1]):
+        where[at, x[:, j]] |= np.uint64(1 << j)
+    where[:, 0] = 0
+    return where
+
+
+def _lcs_rows(where: np.ndarray, size: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``lcs`` of each row's masks with its row of y."""
+    at, full = np.arange(len(y)), np.uint64(0xFFFFFFFFFFFFFFFF) >> (_WORD - size).astype(np.uint64)
+    v = full.copy()
+    for j in range(y.shape[1]):
+        u = v & where[at, y[:, j]]
+        v = (v + u) | (v - u)
+    return size - np.bitwise_count(v & full)
+
+
+def lcs_many(a: list[str], b: list[str]) -> np.ndarray:
+    """``lcs`` of many pairs: one machine word for each pair whose shorter string fits it, and all pairs a step at a time."""
+    out = np.zeros(len(a), dtype=np.int64)
+    short, long = zip(*((x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)), strict=True) if a else ((), ())
+    size = np.array([len(x) for x in short], dtype=np.int64)
+    for i in np.flatnonzero(size > _WORD).tolist():
+        out[i] = lcs(short[i], long[i])
+    fits = np.flatnonzero((size > 0) & (size <= _WORD))
+    fits = fits[np.argsort([len(long[i]) for i in fits.tolist()], kind="stable")]  # rows of one chunk take as many steps as its longest
+    for lo in range(0, len(fits), _ROWS):
+        rows = fits[lo : lo + _ROWS]
+        x, y, symbols = _codes([short[i] for i in rows], [long[i] for i in rows])
+        out[rows] = _lcs_rows(_masks(x, symbols), size[rows], y)
+    return out
+
+
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """``ratio`` of many pairs."""
+    total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], dtype=np.float64)
+    both = np.array([bool(x) and bool(y) for x, y in zip(a, b, strict=True)], dtype=bool)
+    return np.where(total == 0, 100.0, np.where(both, 200.0 * lcs_many(a, b) / np.maximum(total, 1), 0.0))
+
+
 def ratio(a: str, b: str) -> float:
     """Indel similarity, 0 to 100."""
-    if not a and not b:
-        return 100.0
-    return 200.0 * lcs(a, b) / (len(a) + len(b)) if a and b else 0.0
+    return float(ratios([a], [b])[0])
+
+
+def _in_order(x: str) -> str:
+    return " ".join(sorted(x.split()))
 
 
 def token_sort_ratio(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return ratio(_in_order(a), _in_order(b))
+
+
+def token_set_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """Best ratio among the shared tokens and the shared tokens with each side's rest, of many pairs."""
+    shared, rest_a, rest_b, empty = [], [], [], []
+    for p, q in zip(a, b, strict=True):
+        x, y = set(p.split()), set(q.split())
+        shared.append(" ".join(sorted(x & y)))
+        rest_a.append(" ".join(sorted(x - y)))
+        rest_b.append(" ".join(sorted(y - x)))
+        empty.append(not x or not y)
+    n, p, q = (np.array([len(x) for x in side], dtype=np.float64) for side in (shared, rest_a, rest_b))
+    gap = (n > 0).astype(np.float64)
+    n_a, n_b = n + gap + p, n + gap + q
+    best = 100.0 * (1 - (p + q - 2 * lcs_many(rest_a, rest_b)) / np.maximum(n_a + n_b, 1))
+    best = np.where(n > 0, np.maximum(best, np.maximum(200.0 * n / np.maximum(n + n_a, 1), 200.0 * n / np.maximum(n + n_b, 1))), best)
+    best = np.where((n > 0) & ((p == 0) | (q == 0)), 100.0, best)
+    return np.where(empty, 0.0, best)
 
 
 def token_set_ratio(a: str, b: str) -> float:
-    """Best ratio among the shared tokens and the shared tokens with each side's rest."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both = " ".join(sorted(x & y))
-    only_a, only_b = " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    if both and (not only_a or not only_b):
-        return 100.0
-    gap = 1 if both else 0
-    n_both, n_a, n_b = len(both), len(both) + gap + len(only_a), len(both) + gap + len(only_b)
-    best = 100.0 * (1 - (len(only_a) + len(only_b) - 2 * lcs(only_a, only_b)) / (n_a + n_b))
-    if both:
-        best = max(best, 200.0 * n_both / (n_both + n_a), 200.0 * n_both / (n_both + n_b))
-    return best
+    return float(token_set_ratios([a], [b])[0])
 
 
 def _best_window(short: str, long: str) -> float:
-    n, best = len(short), 0.0
-    letters = set(short)
-    for start in range(1 - n, len(long)):
-        window = long[max(start, 0) : start + n]
-        # only windows that begin or end with a shared letter can be the best ones
-        if (start + n < len(long) and window[-1] not in letters) or (start + n >= len(long) and window[0] not in letters):
-            continue
-        if 200.0 * min(n, len(window)) / (n + len(window)) <= best:
-            continue
-        best = max(best, 200.0 * lcs(short, window) / (n + len(window)))
-        if best == 100.0:
+    """Best ratio of the shorter string with a window; windows are tried by what their letters allow, until none can be better."""
+    n, need, have, shared = len(short), Counter(short), Counter(), 0
+    bounds = []
+    for end in range(1, len(long) + n):
+        if end <= len(long):
+            c = long[end - 1]
+            have[c] += 1
+            shared += have[c] <= need[c]
+        if end > n:
+            c = long[end - n - 1]
+            shared -= have[c] <= need[c]
+            have[c] -= 1
+        if shared:
+            lo, hi = max(end - n, 0), min(end, len(long))
+            bounds.append((200.0 * shared / (n + hi - lo), -lo, -hi))
+    best = 0.0
+    bounds.sort(reverse=True)
+    for bound, lo, hi in bounds:
+        if bound <= best:
+            break
+        best = max(best, 200.0 * lcs(short, long[-lo:-hi]) / (n + lo - hi))
+    return best
+
+
+def _best_windows(short: list[str], long: list[str]) -> np.ndarray:
+    """``_best_window`` of many pairs of at most ``_WORD`` characters on the shorter side, all pairs a window at a time."""
+    n, m = (np.array([len(x) for x in side], dtype=np.int64) for side in (short, long))
+    x, y, symbols = _codes(short, long)
+    where, at = _masks(x, symbols), np.arange(len(n))[:, None]
+    used = np.unique(x[x > 0])
+    y_used = np.where(np.isin(y, used), np.searchsorted(used, y), len(used))
+    so_far = np.zeros((len(n), y.shape[1] + 1, len(used)), dtype=np.int16)
+    np.cumsum(y_used[:, :, None] == np.arange(len(used)), axis=1, out=so_far[:, 1:])
+    need = np.bitwise_count(where[:, used]).astype(np.int16)
+    end = np.arange(1, int((n + m).max()))[None, :]
+    lo, hi = np.maximum(end - n[:, None], 0), np.minimum(end, m[:, None])
+    shared = np.minimum(so_far[at, hi] - so_far[at, np.minimum(lo, m[:, None])], need[:, None, :]).sum(axis=2)
+    bound = np.where(end < (n + m)[:, None], 200.0 * shared / np.maximum(n[:, None] + hi - lo, 1), 0.0)
+    order = np.argsort(-bound, axis=1, kind="stable")
+    best, rows, step = np.zeros(len(n)), np.arange(len(n)), np.arange(x.shape[1])
+    for k in range(bound.shape[1]):
+        w = order[rows, k]
+        open_ = bound[rows, w] > best[rows]
+        rows, w = rows[open_], w[open_]
+        if not len(rows):
             break
+        first, last = lo[rows, w], hi[rows, w]
+        place = first[:, None] + step
+        window = np.where(place < last[:, None], y[rows[:, None], np.minimum(place, y.shape[1] - 1)], 0)
+        found = 200.0 * _lcs_rows(where[rows], n[rows], window) / (n[rows] + last - first)
+        best[rows] = np.maximum(best[rows], found)
     return best
 
 
+def partial_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """``partial_ratio`` of many pairs."""
+    out = np.zeros(len(a))
+    short, long, at = [], [], []
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        if not x or x == y or len(x) > _WORD:
+            out[i] = partial_ratio(x, y)
+            continue
+        for p, q in ((x, y), (y, x)) if len(x) == len(y) else ((x, y),):
+            short.append(p)
+            long.append(q)
+            at.append(i)
+    by = np.argsort([len(x) for x in long], kind="stable")
+    lo = 0
+    while lo < len(by):  # chunks of bounded memory: windows x letters
+        rows = by[lo : lo + 512]
+        rows = rows[: max(1, (1 << 16) // max(len(long[rows[-1]]), 1))]
+        found = _best_windows([short[i] for i in rows], [long[i] for i in rows])
+        np.maximum.at(out, np.array(at)[rows], found)
+        lo += len(rows)
+    return out
+
+
 def partial_ratio(a: str, b: str) -> float:
     """Best ratio of the shorter string with the windows of the longer, cut windows at the ends included."""
     if not a and not b:
@@ -155,29 +292,34 @@ def partial_ratio(a: str, b: str) -> float:
 _FUZZY = T.StructType([T.StructField(n, T.DoubleType()) for n in ("ratio", "partial", "sort", "set")])
 
 
+def _distinct(a: pd.Series, b: pd.Series) -> tuple[list[str], list[str], np.ndarray]:
+    """The distinct pairs of a batch, and which of them each row has."""
+    seen: dict[tuple[str, str], int] = {}
+    at = np.fromiter((seen.setdefault((x or "", y or ""), len(seen)) for x, y in zip(a, b, strict=True)), dtype=np.int64, count=len(a))
+    return [x for x, _ in seen], [y for _, y in seen], at
+
+
 @F.pandas_udf(_FUZZY)
 def fuzzy(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """ratio, partial, sort and set scores of each pair, 0 to 1; equal pairs of a batch are scored once."""
-    seen: dict[tuple[str, str], tuple[float, ...]] = {}
-    rows = []
-    for x, y in zip(a, b, strict=True):
-        key = (x or "", y or "")
-        if key not in seen:
-            seen[key] = (1.0,) * 4 if key[0] == key[1] != "" else tuple(f(*key) / 100 for f in (ratio, partial_ratio, token_sort_ratio, token_set_ratio))
-        rows.append(seen[key])
-    return pd.DataFrame(rows, columns=["ratio", "partial", "sort", "set"])
+    x, y, at = _distinct(a, b)
+    scores = {"ratio": ratios(x, y), "partial": partial_ratios(x, y), "sort": ratios([_in_order(p) for p in x], [_in_order(p) for p in y]), "set": token_set_ratios(x, y)}
+    same = np.array([p == q != "" for p, q in zip(x, y, strict=True)], dtype=bool)
+    return pd.DataFrame({k: np.where(same, 1.0, v / 100)[at] for k, v in scores.items()})
 
 
 @F.pandas_udf(T.DoubleType())
 def sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """token_sort_ratio of each pair, 0 to 1."""
-    return pd.Series([token_sort_ratio(x or "", y or "") / 100 for x, y in zip(a, b, strict=True)], dtype="float64")
+    x, y, at = _distinct(a, b)
+    return pd.Series((ratios([_in_order(p) for p in x], [_in_order(p) for p in y]) / 100)[at])
 
 
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """ratio of each pair, 0 to 1."""
-    return pd.Series([ratio(x or "", y or "") / 100 for x, y in zip(a, b, strict=True)], dtype="float64")
+    x, y, at = _distinct(a, b)
+    return pd.Series((ratios(x, y) / 100)[at])
 
 
 def register(spark) -> None:

@@ -8,6 +8,8 @@ key and no list is ever paired with itself.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ BUCKET_CAP = 300
 UNCAPPED = 3  # the first three key types have no cap
 # End of fixed values.
 PART_STEP = 1000  # places of a name's parts
+BLOCK_ROWS = 1 << 16  # targets in a block of a list without a cap
 
 
 def _generic(t: Column) -> Column:
@@ -87,10 +90,20 @@ _KEY = ["country", "key_rank", "key"]
 
 
 def posting_lists(keys: DataFrame) -> DataFrame:
-    """(country, key_rank, key, pos, t_id, t_ord): every key's targets in row order; capped types keep their first ``BUCKET_CAP`` entries."""
-    w = Window.partitionBy(*_KEY).orderBy("ord", "key_ord")
-    rows = keys.withColumn("pos", F.row_number().over(w).cast("long"))
-    return rows.where((F.col("key_rank") < UNCAPPED) | (F.col("pos") <= BUCKET_CAP)).select(*_KEY, "pos", F.col("id").alias("t_id"), F.col("ord").alias("t_ord"))
+    """(country, key_rank, key, pos, t_id, t_ord): every key's targets in row order; capped types keep their first ``BUCKET_CAP`` entries.
+
+    Capped lists are cut by a rank filter that Spark applies before the shuffle.  Lists without a cap
+    are numbered in blocks of row order, so a key that many targets share is never one group: blocks
+    are counted, their counts summed, and entries ranked within their block.
+    """
+    by = Window.partitionBy(*_KEY)
+    capped = keys.where(F.col("key_rank") >= UNCAPPED).withColumn("pos", F.row_number().over(by.orderBy("ord", "key_ord"))).where(F.col("pos") <= BUCKET_CAP)
+    whole = keys.where(F.col("key_rank") < UNCAPPED).withColumn("block", F.floor(F.col("ord") / BLOCK_ROWS))
+    before = F.coalesce(F.sum("n").over(by.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = whole.groupBy(*_KEY, "block").agg(F.count(F.lit(1)).alias("n")).select(*_KEY, "block", before.alias("before"))
+    within = F.row_number().over(Window.partitionBy(*_KEY, "block").orderBy("ord", "key_ord"))
+    whole = whole.withColumn("pos", within).join(blocks, [*_KEY, "block"]).withColumn("pos", F.col("pos") + F.col("before"))
+    return reduce(DataFrame.union, (x.select(*_KEY, F.col("pos").cast("long").alias("pos"), F.col("id").alias("t_id"), F.col("ord").alias("t_ord")) for x in (capped, whole)))
 
 
 def short_lists(keys: DataFrame, k: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,6 +52,16 @@ def countries(records: DataFrame) -> DataFrame:
     return records.select(normalize_country(F.col("country")).alias("country")).distinct()
 
 
+def countries_by_file(spark: SparkSession, files: dict[str, str], head: int | None = 50_000) -> tuple[DataFrame, list[str]]:
+    """((name, countries in order) of each file that is there, names of the files that are missing); ``head`` rows of each are read, None for all."""
+    from tessera.sources.tsv import exists, read_tsv
+
+    there = {n: p for n, p in files.items() if exists(spark, p)}
+    found = [countries(read_tsv(spark, p, columns=["country"], head=head)).select(F.lit(n).alias("name"), "country") for n, p in there.items()]
+    rows = reduce(DataFrame.union, found) if found else spark.createDataFrame([], "name string, country string")
+    return rows.groupBy("name").agg(F.array_sort(F.collect_set("country")).alias("countries")), [n for n in files if n not in there]
+
+
 def uncovered_countries(s1: DataFrame, targets: DataFrame) -> DataFrame:
     """Countries of source 1 that no target has."""
     return countries(s1).subtract(countries(targets))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions import similarity as sim
 from tessera.functions.similarity import flag
 
+# The names of the features, in the order in which models take them.
 NAMES = (
     "name_exact", "name_base_exact", "name_unspaced_match", "name_base_unspaced", "name_first_token_match", "name_prefix2_match", "is_acronym_match", "name_soundex_match",
     "name_lcp_ratio", "name_shared_tokens_count", "name_base_jaccard", "name_fuzz_ratio", "name_token_sort", "name_token_set", "name_partial_ratio", "name_qgram_jaccard",
@@ -24,6 +25,7 @@ NAMES = (
     "addr_partial_ratio", "addr_token_sort", "addr_token_set", "addr_qgram_jaccard", "addr_overlap", "name_x_addr_sim", "geom_mean_sim", "both_have_postal",
     "postal_match", "postal_prefix2", "postal_prefix3", "postal_conflict", "is_source2",
 )
+# End of fixed values.
 _SIDE = ("norm_name", "base_name", "norm_addr", "postal_code", "house_num", "toks", "base_toks", "addr_toks", "first_tok", "first_sx", "street_sx", "nums", "a_nums", "grams", "a_grams")
 
 
@@ -116,7 +118,7 @@ def native(profile: str = "canonical") -> dict[str, Column]:
     }
     out["has_addr_both"] = flag(both)
     if serving:
-        same_name, same_addr = n1 == n2, a1 == a2
+        same_name, same_addr = (n1 != "") & (n1 == n2), a1 == a2  # two empty names are not equal
         ones = {"name_unspaced_match", "name_base_unspaced", "name_first_token_match", "name_prefix2_match", "name_soundex_match", "name_lcp_ratio", "name_base_jaccard", "name_qgram_jaccard", "name_jaccard"}
         zeros = {"is_acronym_match", "name_len_diff", "name_token_count_diff", "name_num_conflict"}
         for k in ones | zeros:

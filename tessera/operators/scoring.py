@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -11,6 +15,7 @@ from tessera.functions import similarity as sim
 
 from .features import NAMES
 
+Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 #: Weights of the linear scorer; they sum to 1, so a score is a share.
 LINEAR = {"name_jaccard": 0.5, "name_base_exact": 0.3, "postal_match": 0.2}
 #: Size of the production model; tests pass less.
@@ -50,11 +55,46 @@ def load_model(path: str) -> GBTClassificationModel:
     return GBTClassificationModel.load(path)
 
 
+def mean_pool(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Vectors of length one from token vectors (texts x tokens x size): the mean of the tokens under the mask."""
+    mask = mask[:, :, None].astype(np.float64)
+    pooled = (tokens * mask).sum(axis=1) / np.maximum(mask.sum(axis=1), 1e-9)
+    return (pooled / np.maximum(np.linalg.norm(pooled, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def encode(names: DataFrame, make_encoder: Callable[[], Encoder], batch: int = 256) -> DataFrame:
+    """(id, vec) of names (id, name) by an encoder that each task makes once.
+
+    An encoder takes a list of texts and gives their token vectors and mask; ``mean_pool`` does the rest.
+    Null and empty names have no vector.
+    """
+
+    def run(batches):
+        encoder = None
+        for rows in batches:
+            encoder = encoder or make_encoder()
+            for lo in range(0, rows.num_rows, batch):
+                part = rows.slice(lo, batch)
+                vectors = mean_pool(*encoder(part.column("name").to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(vectors), pa.list_(pa.float32()))], ["id", "vec"])
+
+    return names.select("id", "name").where("name <> ''").mapInArrow(run, "id string, vec array<float>")
+
+
+def uncertain_names(scores: DataFrame, s1: DataFrame, targets: DataFrame, low: float = 0.40, high: float = 0.75, least: float = 0.30) -> tuple[DataFrame, DataFrame]:
+    """The names (id, name) that ``blend`` will ask for: of entities whose best probability is within [low, high], and of their candidates of at least ``least``."""
+    top = scores.groupBy("s1_id").agg(F.max("p").alias("top")).where((F.col("top") >= low) & (F.col("top") <= high))
+    asked = scores.join(top, "s1_id", "left_semi").where(F.col("p") >= least)
+    sides = ((s1, asked.select(F.col("s1_id").alias("id"))), (targets, asked.select(F.col("t_id").alias("id"))))
+    return tuple(rows.select("id", F.col("norm_name").alias("name")).join(ids.distinct(), "id", "left_semi") for rows, ids in sides)
+
+
 def blend(scores: DataFrame, vectors: tuple[DataFrame, DataFrame], low: float = 0.40, high: float = 0.75, least: float = 0.30, share: float = 0.25) -> DataFrame:
     """Uncertain entities get part of their probability from the cosine of name vectors.
 
     Uncertain: the best probability within [low, high]; of those, pairs of at least ``least``.
     vectors: (id, vec) of either side, of length one; a missing vector leaves the probability.
+    Blended probabilities are rounded to nine digits, so that equal ones tie.
     """
     from pyspark.sql import Window
 
@@ -62,4 +102,5 @@ def blend(scores: DataFrame, vectors: tuple[DataFrame, DataFrame], low: float =
     top = F.max("p").over(Window.partitionBy("s1_id"))
     rows = scores.withColumn("top", top).join(s.toDF("s1_id", "sv"), "s1_id", "left").join(t.toDF("t_id", "tv"), "t_id", "left")
     uncertain = (F.col("top") >= low) & (F.col("top") <= high) & (F.col("p") >= least) & F.col("sv").isNotNull() & F.col("tv").isNotNull()
-    return rows.select("s1_id", "t_id", "cand_rank", "s1_ord", F.when(uncertain, (1 - share) * F.col("p") + share * sim.cosine_of_units(F.col("sv"), F.col("tv"))).otherwise(F.col("p")).alias("p"))
+    mixed = (1 - share) * F.col("p") + share * sim.cosine_of_units(F.col("sv"), F.col("tv"))
+    return rows.select("s1_id", "t_id", "cand_rank", "s1_ord", F.when(uncertain, F.round(mixed, 9)).otherwise(F.col("p")).alias("p"))

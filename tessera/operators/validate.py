@@ -9,20 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.tsv import first_line
+from tessera.sources.tsv import first_line, first_rows, numbered
+from tessera.storage import stash
 
 MATCHING_HEADER = ("source1_entity_id", "matched_entity_ids")
 CANDIDATE_HEADER = ("source1_entity_id", "candidate_entity_ids")
 _SCHEMA = "rule string, severity string, n long, examples array<string>"
 
 
-def _finding(rows: DataFrame, rule: str, what: Column, severity: str = "error", distinct: bool = True) -> DataFrame:
-    """One row if there are offenders; examples are the five smallest, kept as partial lists of five."""
-    own = rows.select(what.cast("string").alias("x"))
-    own = own.distinct() if distinct else own
-    few = own.orderBy("x").limit(5).agg(F.count(F.lit(0)).alias("n"), F.array_sort(F.collect_list("x")).alias("examples"))
-    total = own.agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("array<string>").alias("examples"))
-    return total.union(few).agg(F.max("n").alias("n"), F.max("examples").alias("examples")).where("n > 0").select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "n", "examples")
+def _findings(offences: DataFrame, severity: str = "error") -> DataFrame:
+    """(rule, severity, n, examples) of offences (rule, x): distinct offenders of each rule, with the five smallest."""
+    own = stash(offences.distinct(), "offences")
+    few = first_rows(own, ["rule"], ["x"], 5).groupBy("rule").agg(F.array_sort(F.collect_list("x")).alias("examples"))
+    return own.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).join(few, "rule").select("rule", F.lit(severity).alias("severity"), "n", "examples")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -34,27 +33,44 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return rows.select("line_no", F.trim(F.element_at(parts, 1)).alias("s1_id"), ids.alias("ids"), (~F.contains("value", F.lit("\t"))).alias("malformed"))
 
 
+def _offence(rule: str, x: Column) -> Column:
+    return F.struct(F.lit(rule).alias("rule"), x.cast("string").alias("x"))
+
+
 def check_lists(rows: DataFrame, required: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Findings over parsed rows; required: (entity_id) of source 1; known: (entity_id) of all targets or None."""
+    """Findings over parsed rows; required: (entity_id) of source 1; known: (entity_id) of all targets or None.
+
+    Rules of a single row are found in one pass; rules about entities in one aggregation joined with
+    the required ones; whether ids exist in one join.
+    """
+    rows = stash(rows, "lines")
+    ids = F.col("ids")
+    of_row = F.when(F.col("malformed"), F.array(_offence("malformed_row", F.col("line_no")))).otherwise(
+        F.concat(
+            F.when(F.size(ids) != F.size(F.array_distinct(ids)), F.array(_offence("duplicate_id", F.col("s1_id")))).otherwise(F.array().cast("array<struct<rule:string,x:string>>")),
+            F.transform(F.filter(ids, lambda i: i.startswith("S1-")), lambda i: _offence("self_match", i)),
+            F.transform(F.filter(ids, lambda i: ~i.rlike("^S[123]-")), lambda i: _offence("wrong_prefix", i)),
+        )
+    )
+    found = rows.select(F.explode(of_row).alias("o")).select("o.*")
     good = rows.where(~F.col("malformed"))
-    ids = good.select("s1_id", F.explode("ids").alias("t_id"))
-    own, need = good.select("s1_id").distinct(), required.select(F.col("entity_id").alias("s1_id")).distinct()
-    out = [
-        _finding(rows.where("malformed"), "malformed_row", F.col("line_no")),
-        _finding(good.groupBy("s1_id").count().where("count > 1"), "duplicate_row", F.col("s1_id")),
-        _finding(good.where(F.size("ids") != F.size(F.array_distinct("ids"))), "duplicate_id", F.col("s1_id")),
-        _finding(ids.where(F.col("t_id").startswith("S1-")), "self_match", F.col("t_id")),
-        _finding(ids.where(~F.col("t_id").rlike("^S[123]-")), "wrong_prefix", F.col("t_id")),
-        _finding(need.join(own, "s1_id", "left_anti"), "missing_entity", F.col("s1_id")),
-        _finding(own.join(need, "s1_id", "left_anti"), "unexpected_entity", F.col("s1_id")),
-    ]
+    own = good.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"))
+    need = required.select(F.col("entity_id").alias("need_id")).distinct()
+    both = own.join(need, F.col("s1_id") == F.col("need_id"), "full")
+    of_entity = F.filter(
+        F.array(
+            F.when(F.col("n") > 1, _offence("duplicate_row", F.col("s1_id"))),
+            F.when(F.col("s1_id").isNull(), _offence("missing_entity", F.col("need_id"))),
+            F.when(F.col("need_id").isNull(), _offence("unexpected_entity", F.col("s1_id"))),
+        ),
+        lambda o: o.isNotNull(),
+    )
+    found = found.union(both.select(F.explode(of_entity).alias("o")).select("o.*"))
     if known is not None:
-        targets = ids.where(F.col("t_id").rlike("^S[23]-"))
-        out.append(_finding(targets.join(known.select(F.col("entity_id").alias("t_id")).distinct(), "t_id", "left_anti"), "unknown_id", F.col("t_id")))
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
-    return found
+        targets = good.select(F.explode("ids").alias("t_id")).where(F.col("t_id").rlike("^S[23]-")).distinct()
+        unknown = targets.join(known.select(F.col("entity_id").alias("t_id")).distinct(), "t_id", "left_anti")
+        found = found.union(unknown.select(F.lit("unknown_id"), "t_id"))
+    return _findings(found)
 
 
 def check_subset(matches: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -63,7 +79,7 @@ def check_subset(matches: DataFrame, candidates: DataFrame) -> DataFrame:
     def last(rows: DataFrame) -> DataFrame:
         return rows.where(~F.col("malformed")).groupBy("s1_id").agg(F.max_by("ids", "line_no").alias("ids")).select("s1_id", F.explode("ids").alias("t_id"))
 
-    return _finding(last(matches).join(last(candidates), ["s1_id", "t_id"], "left_anti"), "match_not_candidate", F.col("s1_id"), "warning")
+    return _findings(last(matches).join(last(candidates), ["s1_id", "t_id"], "left_anti").select(F.lit("match_not_candidate").alias("rule"), F.col("s1_id").alias("x")), "warning")
 
 
 def counts(rows: DataFrame) -> DataFrame:
@@ -77,9 +93,9 @@ def _one(spark: SparkSession, rule: str, severity: str, what: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Numbered lines after the header."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id() + 1)
-    return lines.where("line_no > 1")
+    """Numbered lines after the header; the header is line 1."""
+    lines = numbered(spark.read.text(path), "n")
+    return lines.select((F.col("n") + 1).alias("line_no"), "value").where("line_no > 1")
 
 
 def check_file(spark: SparkSession, path: str, header: tuple[str, str], required: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -100,12 +116,12 @@ def check_file(spark: SparkSession, path: str, header: tuple[str, str], required
     return check_lists(rows, required, known), rows
 
 
-def validate(spark: SparkSession, matching: str, candidate: str | None, source1: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+def validate(spark: SparkSession, matching: str, candidate: str | None, source1: DataFrame, targets: DataFrame | None = None, why_not: str = "targets were not given") -> DataFrame:
     """All findings of a matching file and, if there, a candidate file; with targets ids are checked to exist."""
     known = targets.select("entity_id") if targets is not None else None
     found, matches = check_file(spark, matching, MATCHING_HEADER, source1, known)
     if known is None:
-        found = found.unionByName(_one(spark, "ids_not_checked", "warning", "targets were not given"))
+        found = found.unionByName(_one(spark, "ids_not_checked", "warning", why_not))
     if candidate:
         more, cands = check_file(spark, candidate, CANDIDATE_HEADER, source1, known)
         if cands is None:

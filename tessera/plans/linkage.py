@@ -50,24 +50,50 @@ def predict(s1_records: DataFrame, target_records: DataFrame, k: int = 6, thresh
     return found, decide.decide(scores, names, thresholds.gate, thresholds.sibling, thresholds.margin, thresholds.max_per_source)
 
 
-def predict_hybrid(s1_records: DataFrame, target_records: DataFrame, vectors: tuple[DataFrame, DataFrame], k: int = 35, thresholds: Thresholds = Thresholds(), model=None) -> tuple[DataFrame, DataFrame]:
-    """The variant that asks name vectors about uncertain entities; no boost, no claims."""
+def predict_hybrid(s1_records: DataFrame, target_records: DataFrame, vectors: tuple[DataFrame, DataFrame] | None = None, k: int = 35, thresholds: Thresholds = Thresholds(), model=None, make_encoder=None) -> tuple[DataFrame, DataFrame]:
+    """The variant that asks name vectors about uncertain entities; no boost, no claims.
+
+    Vectors (id, vec) are given for both sides, or made by an encoder for the names that are asked for;
+    without either the probabilities stay as they are.
+    """
     s1, targets = stash(normalized(s1_records), "s1"), stash(normalized(target_records), "targets")
     found = stash(candidate_pairs(s1, targets, k), "candidates")
     scores = linear_scores(s1, targets, found, prune=False, profile="canonical") if model is None else scoring.trees(pair_features(s1, targets, found), model)
-    return found, decide.decide_hybrid(scoring.blend(scores, vectors), thresholds.gate, thresholds.sibling, thresholds.margin, thresholds.max_per_source)
+    if vectors is None and make_encoder is not None:
+        scores = stash(scores, "scores")
+        vectors = tuple(scoring.encode(names, make_encoder) for names in scoring.uncertain_names(scores, s1, targets))
+    blended = scores if vectors is None else scoring.blend(scores, vectors)
+    return found, decide.decide_hybrid(blended, thresholds.gate, thresholds.sibling, thresholds.margin, thresholds.max_per_source)
+
+
+def validation_scores(s1: DataFrame, targets: DataFrame, candidates: DataFrame, model) -> DataFrame:
+    """Scores of the candidates of some entities, by the canonical features."""
+    return scoring.trees(pair_features(s1, targets, candidates.join(s1.select(F.col("id").alias("s1_id")), "s1_id", "left_semi")), model)
+
+
+def search(scores: DataFrame, truth: DataFrame, s1: DataFrame, points: list) -> tuple[Thresholds, float]:
+    """The best point of a grid for the given entities (those without truth count as without matches), and its score."""
+    own = s1.select(F.col("id").alias("s1_id")).join(truth, "s1_id", "left").withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))
+    best = training.best_point(training.grid_scores(scores, own, points)).first()
+    return Thresholds(best.gate, best.sibling, best.margin, best.max_per_source), best.macro_f05
 
 
-def train(s1_records: DataFrame, target_records: DataFrame, truth: DataFrame, k: int = 35, points: list | None = None, ceiling: int = 3_000_000, **params):
-    """(model, thresholds): trees fitted on mined pairs of the training split, thresholds searched on the rest."""
+def train(s1_records: DataFrame, target_records: DataFrame, truth: DataFrame, k: int = 35, points: list | None = None, ceiling: int = 3_000_000, percent: int = 80, seed: int = 42, evaluate: int = 15_000, **params):
+    """(model, thresholds, score): trees fitted on mined pairs of the training split, thresholds searched on ``evaluate`` entities of the rest."""
     s1, targets = stash(normalized(s1_records), "s1"), stash(normalized(target_records), "targets")
-    learn, check = training.split(s1, "id")
+    learn, check = training.split(s1, "id", percent, seed)
     edges = truth.select("s1_id", F.explode("matched").alias("t_id"))
     found = stash(candidate_pairs(s1, targets, k), "candidates")
-    mined = training.training_pairs(edges, found.join(learn.select(F.col("id").alias("s1_id")), "s1_id", "left_semi"), learn, targets, ceiling=ceiling)
-    rows = pair_features(learn, targets, mined.withColumn("cand_rank", F.lit(1)))
-    model = scoring.fit_trees(rows.join(mined, ["s1_id", "t_id"]), **params)
-    held = scoring.trees(pair_features(check, targets, found.join(check.select(F.col("id").alias("s1_id")), "s1_id", "left_semi")), model)
-    own = truth.join(check.select(F.col("id").alias("s1_id")), "s1_id", "left_semi")
-    best = training.best_point(training.grid_scores(held, own, points or training.grid(*training.FULL_GRID))).first()
-    return model, Thresholds(best.gate, best.sibling, best.margin, best.max_per_source)
+    mined = stash(training.training_pairs(edges, found.join(learn.select(F.col("id").alias("s1_id")), "s1_id", "left_semi"), learn, targets, ceiling=ceiling), "mined")
+    rows = pair_features(learn, targets, mined.select("s1_id", "t_id").withColumn("cand_rank", F.lit(1)))
+    model = scoring.fit_trees(stash(rows.join(mined, ["s1_id", "t_id"]), "training"), **params)
+    check = stash(training.evaluation_sample(check, "id", evaluate, seed), "check")
+    best, score = search(stash(validation_scores(check, targets, found, model), "scores"), truth, check, points or training.grid(*training.FULL_GRID))
+    return model, best, score
+
+
+def calibrate(s1_records: DataFrame, target_records: DataFrame, truth: DataFrame, model, k: int = 35, points: list | None = None) -> tuple[Thresholds, float]:
+    """(thresholds, score) of a model that is there, searched over all given entities."""
+    s1, targets = stash(normalized(s1_records), "s1"), stash(normalized(target_records), "targets")
+    found = stash(candidate_pairs(s1, targets, k), "candidates")
+    return search(stash(validation_scores(s1, targets, found, model), "scores"), truth, s1, points or training.grid(*training.SMALL_GRID))

@@ -63,7 +63,7 @@ def nums(x: str) -> str:
 
 
 def address(x: str) -> str:
-    table = ", ".join(f"{q(k)}: {q(v)}" for k, v in t.address_words().items())
+    table = ", ".join(f"{q(k)}: {q(v)}" for k, v in t.ADDRESS_WORDS.items())
     words = tokens(rf"regexp_replace(replace(lower({plain(x)}), '&', ' and '), '[^a-z0-9\s]', ' ', 'g')")
     return f"array_to_string(list_transform({words}, lambda w: coalesce((MAP {{{table}}})[w], w)), ' ')"
 
@@ -106,6 +106,21 @@ def indel(a: str, b: str) -> str:
     return f"CASE WHEN length({a}) = 0 AND length({b}) = 0 THEN 1.0 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0 ELSE 2.0 * (length({a}) - bit_count({v})) / (length({a}) + length({b})) END"
 
 
+def lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence, from the indel similarity."""
+    return f"CAST(round({indel(a, b)} * (length({a}) + length({b})) / 2) AS BIGINT)"
+
+
+def token_set(rows: str, a: str, b: str, name: str) -> str:
+    """rows with ``name``, the best ratio among shared tokens and shared tokens with either rest, 0 to 1."""
+    both = "CAST(length(sb) AS DOUBLE)"
+    na, nb = (f"({both} + CASE WHEN sb <> '' THEN 1 ELSE 0 END + length({x}))" for x in ("ra", "rb"))
+    rest = f"1 - (length(ra) + length(rb) - 2 * {lcs('ra', 'rb')}) / greatest({na} + {nb}, 1)"
+    best = f"CASE WHEN len(xa) = 0 OR len(xb) = 0 THEN 0.0 WHEN sb <> '' AND (ra = '' OR rb = '') THEN 1.0 WHEN sb = '' THEN {rest} ELSE greatest({rest}, 2 * {both} / ({both} + {na}), 2 * {both} / ({both} + {nb})) END"
+    return f"""SELECT *, {best} AS {name} FROM (SELECT *, array_to_string(list_sort(list_intersect(xa, xb)), ' ') AS sb, array_to_string(list_sort(list_filter(xa, lambda t: NOT list_contains(xb, t))), ' ') AS ra,
+  array_to_string(list_sort(list_filter(xb, lambda t: NOT list_contains(xa, t))), ' ') AS rb FROM (SELECT *, list_distinct({tokens(a)}) AS xa, list_distinct({tokens(b)}) AS xb FROM {rows}))"""
+
+
 def sorted_name(x: str) -> str:
     return f"array_to_string(list_sort({tokens(x)}), ' ')"
 
@@ -179,7 +194,7 @@ _LINEAR = (
 
 
 def scores(k: int, prune: bool = True, serving: bool = True) -> str:
-    p = _LINEAR if not serving else _LINEAR.replace(jaccard("s_toks", "t_toks"), f"CASE WHEN s_norm_name = t_norm_name THEN 1.0 ELSE {jaccard('s_toks', 't_toks')} END")
+    p = _LINEAR if not serving else _LINEAR.replace(jaccard("s_toks", "t_toks"), f"CASE WHEN s_norm_name <> '' AND s_norm_name = t_norm_name THEN 1.0 ELSE {jaccard('s_toks', 't_toks')} END")
     return f"{pairs(k)}, scores AS MATERIALIZED (SELECT s1_id, t_id, cand_rank, s1_ord, CAST({p} AS DOUBLE) AS p FROM pairs{f' WHERE {PRUNED}' if prune else ''})"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from tessera.operators import blocking, decide, evaluate, features, scoring, tra
 from tessera.operators.normalize import normalized, prepared
 from tessera.sources import tsv
 from tessera.sources.world import truth, world
-from tessera.storage import stash
+from tessera.storage import shared_dir, stash
 
 from . import linkage, oracle as o
 
@@ -68,6 +69,28 @@ def scan_head(spark, d):
     return world(spark, d)[0].orderBy("ord").limit(100).select("entity_id", "business_name")
 
 
+@query(f"WITH {o.world.CTES} SELECT entity_id, business_name, business_address, country, CAST(row_number() OVER (ORDER BY ord) - 1 AS BIGINT) AS ord FROM targets")
+def scan_files(spark, d):
+    """The targets written as tab-separated files and read again, with their row order."""
+    path = f"{shared_dir(spark)}/scan-{uuid.uuid4().hex}"
+    rows = world(spark, d)[1].orderBy("ord").select(*tsv.RECORD.names)
+    rows.write.option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").option("quote", "").csv(path)
+    return tsv.read_tsv(spark, path).select(*tsv.RECORD.names, "ord")
+
+
+@query(f"WITH {o.world.CTES}, {o.TRUTH} SELECT s1_id, array_to_string(matched, ',') AS matched FROM truth")
+def scan_truth(spark, d):
+    """Ground truth from a file in which rows are repeated, blank, padded, and lists have gaps and repeats; the last row counts."""
+    path = f"{shared_dir(spark)}/truth-{uuid.uuid4().hex}"
+    rows = truth(spark, d).select("s1_id", F.array_join("matched", ", ").alias("m"))
+    early = rows.select(F.lit(0).alias("n"), "s1_id", F.lit("S2-999999,S3-999999").alias("m"))
+    late = rows.select(F.lit(1).alias("n"), F.concat(F.lit(" "), "s1_id").alias("s1_id"), F.when(F.col("m") != "", F.concat(F.lit(","), "m", F.lit(",,"), "m")).otherwise("").alias("m"))
+    blank = rows.select(F.lit(2).alias("n"), F.lit("  ").alias("s1_id"), "m")
+    written = early.union(late).union(blank).orderBy("n", "s1_id").select(F.col("s1_id").alias("source1_entity_id"), F.col("m").alias("matched_entity_ids"))
+    written.write.option("sep", "\t").option("header", True).option("emptyValue", "").option("quote", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return tsv.read_truth(spark, path).select("s1_id", F.array_join(F.array_sort("matched"), ",").alias("matched"))
+
+
 # -- normalization ----------------------------------------------------------------------------
 @query(f"WITH {o.world.CTES} SELECT entity_id, {o.country('country')} AS country FROM (SELECT entity_id, CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' || lower(country) || ' ' ELSE country END AS country FROM targets)")
 def normalize_country(spark, d):
@@ -170,7 +193,7 @@ def token_sort_ratio_pairs(spark, d):
     return _pairs(spark, d).select("s1_id", "t_id", F.round(sim.sort_ratio("s_norm_name", "t_norm_name"), 9).alias("score"))
 
 
-@query()
+@query(f"WITH {o.pairs(6)}, made AS ({o.token_set('pairs', 's_norm_name', 't_norm_name', 'v')}) SELECT s1_id, t_id, round(CAST(v AS DOUBLE), 9) AS score FROM made")
 def token_set_ratio_pairs(spark, d):
     return _pairs(spark, d).select("s1_id", "t_id", F.round(sim.fuzzy("s_norm_name", "t_norm_name")["set"], 9).alias("score"))
 
@@ -266,8 +289,8 @@ def _name_sql(serving: bool) -> str:
         ones = {"name_unspaced_match", "name_base_unspaced", "name_first_token_match", "name_prefix2_match", "name_soundex_match", "name_lcp_ratio", "name_base_jaccard", "name_qgram_jaccard", "name_jaccard"}
         zeros = {"is_acronym_match", "name_len_diff", "name_token_count_diff", "name_num_conflict"}
         for k in ones | zeros:
-            out[k] = f"CASE WHEN s_norm_name = t_norm_name THEN {1.0 if k in ones else 0.0} ELSE {out[k]} END"
-        out["name_shared_tokens_count"] = f"CASE WHEN s_norm_name = t_norm_name THEN least(len(s_toks), 5) / 5.0 ELSE {out['name_shared_tokens_count']} END"
+            out[k] = f"CASE WHEN s_norm_name <> '' AND s_norm_name = t_norm_name THEN {1.0 if k in ones else 0.0} ELSE {out[k]} END"
+        out["name_shared_tokens_count"] = f"CASE WHEN s_norm_name <> '' AND s_norm_name = t_norm_name THEN least(len(s_toks), 5) / 5.0 ELSE {out['name_shared_tokens_count']} END"
     return _select(out, f"SELECT *, {o.soundex('s_toks[1]')} AS s_sx, {o.soundex('t_toks[1]')} AS t_sx, {o.tokens('s_base_name')} AS s_base_toks, {o.tokens('t_base_name')} AS t_base_toks, {o.grams('s_norm_name')} AS s_grams, {o.grams('t_norm_name')} AS t_grams, {o.numbers('s_norm_name')} AS s_nums, {o.numbers('t_norm_name')} AS t_nums FROM pairs")
 
 
@@ -329,6 +352,27 @@ for _family, _names, _sql in (("name", _NAME, _name_sql), ("address", _ADDR, _ad
         ORACLE[_key] = _sql(_profile == "serving")
 
 
+def _fuzzy_sql() -> str:
+    both = "s_norm_addr <> '' AND t_norm_addr <> ''"
+    sort = f"CASE WHEN {both} THEN addr_sort ELSE 0.5 END"
+    cols = {
+        "name_fuzz_ratio": "name_ratio", "name_token_sort": "name_sort", "name_token_set": "name_set",
+        "addr_fuzz_ratio": f"CASE WHEN {both} THEN addr_ratio ELSE 0.0 END", "addr_token_sort": f"CASE WHEN {both} THEN addr_sort ELSE 0.0 END", "addr_token_set": f"CASE WHEN {both} THEN addr_set ELSE 0.0 END",
+        "name_x_addr_sim": f"name_sort * {sort}", "geom_mean_sim": f"sqrt(name_sort * {sort})",
+    }
+    sides = ", ".join(f"{o.sorted_name(f'{x}_norm_{k}')} AS {x}_{k}_sorted" for x in "st" for k in ("name", "addr"))
+    scores = ", ".join(f"{o.indel(f's_norm_{k}', f't_norm_{k}')} AS {k}_ratio, {o.indel(f's_{k}_sorted', f't_{k}_sorted')} AS {k}_sort" for k in ("name", "addr"))
+    named = o.token_set(f"(SELECT *, {scores} FROM (SELECT *, {sides} FROM pairs))", "s_norm_name", "t_norm_name", "name_set")
+    rows = o.token_set(f"(SELECT * EXCLUDE (xa, xb, sb, ra, rb) FROM ({named}))", "s_norm_addr", "t_norm_addr", "addr_set")
+    return _select(cols, rows)
+
+
+@query(_fuzzy_sql())
+def features_fuzzy(spark, d):
+    names = ("name_fuzz_ratio", "name_token_sort", "name_token_set", "addr_fuzz_ratio", "addr_token_sort", "addr_token_set", "name_x_addr_sim", "geom_mean_sim")
+    return features.features(_pairs(spark, d)).select("s1_id", "t_id", *(F.round(n, 9).alias(n) for n in names))
+
+
 @query()
 def features_all(spark, d):
     return features.features(_pairs(spark, d))
@@ -389,10 +433,12 @@ def matching_results(spark, d):
 
 
 _VEC = "SELECT {id} AS id, u FROM {rows} e JOIN unit ON unit.vec_id = e.k % 500"
-_BLEND = f"""WITH {o.scores(6, prune=False, serving=False)}, unit AS ({_UNIT}), sv AS ({_VEC.format(id='entity_id', rows='s1')}), tv AS ({_VEC.format(id='entity_id', rows='targets')}),
-top AS (SELECT *, max(p) OVER (PARTITION BY s1_id) AS top FROM scores)
-SELECT s1_id, t_id, round(CASE WHEN top >= 0.40 AND top <= 0.75 AND p >= 0.30 AND sv.u IS NOT NULL AND tv.u IS NOT NULL THEN 0.75 * p + 0.25 * list_dot_product(sv.u, tv.u) ELSE p END, 6) AS p
-FROM top LEFT JOIN sv ON sv.id = s1_id LEFT JOIN tv ON tv.id = t_id"""
+_BLENDED = f"""{o.scores(35, prune=False, serving=False)}, unit AS ({_UNIT}), sv AS ({_VEC.format(id='entity_id', rows='s1')}), tv AS ({_VEC.format(id='entity_id', rows='targets')}),
+top AS (SELECT *, max(p) OVER (PARTITION BY s1_id) AS top FROM scores),
+blended AS MATERIALIZED (SELECT s1_id, t_id, cand_rank, CASE WHEN top >= 0.40 AND top <= 0.75 AND p >= 0.30 AND sv.u IS NOT NULL AND tv.u IS NOT NULL THEN round(0.75 * p + 0.25 * list_dot_product(sv.u, tv.u), 9) ELSE p END AS p
+FROM top LEFT JOIN sv ON sv.id = s1_id LEFT JOIN tv ON tv.id = t_id)"""
+_HYBRID = f"""{_BLENDED}, near AS (SELECT * FROM (SELECT *, max(p) OVER (PARTITION BY s1_id) AS best FROM blended) WHERE best >= 0.58 AND p >= greatest(0.38, best - 0.22)),
+matches AS (SELECT s1_id, t_id, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, cand_rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, substr(t_id, 1, 2) ORDER BY p DESC, cand_rank) AS nth FROM near) WHERE nth <= 3)"""
 
 
 def _vectors(spark, d):
@@ -400,16 +446,16 @@ def _vectors(spark, d):
     return tuple(rows.select(F.col("entity_id").alias("id"), (F.col("k") % 500).alias("v")).join(unit, "v").select("id", "vec") for rows in world(spark, d))
 
 
-@query(_BLEND)
+@query(f"WITH {_BLENDED} SELECT s1_id, t_id, round(p, 6) AS p FROM blended")
 def hybrid_blend(spark, d):
-    scores, _ = _scores(spark, d, prune=False, profile="canonical")
+    scores, _ = _scores(spark, d, 35, prune=False, profile="canonical")
     return scoring.blend(scores, _vectors(spark, d)).select("s1_id", "t_id", F.round("p", 6).alias("p"))
 
 
-@query()
+@query(o.lists(_HYBRID, "matches", "rank", "matched_entity_ids"))
 def hybrid_results(spark, d):
     s1, targets = world(spark, d)
-    _, matches = linkage.predict_hybrid(s1, targets, _vectors(spark, d), k=6)
+    _, matches = linkage.predict_hybrid(s1, targets, _vectors(spark, d), k=35)
     return tsv.id_lists(s1, matches, "rank", "matched_entity_ids").drop("ord")
 
 
@@ -503,26 +549,42 @@ def hard_negative_mining(spark, d):
     return training.training_pairs(edges, linkage.candidate_pairs(s1, targets, 35), s1, targets, F.expr(_MIX.format(a="s1_id", b="t_id")))
 
 
-_GRID = training.grid([0.40, 0.50, 0.60, 0.70], [0.20, 0.30, 0.40], [0.15, 0.25, 0.35], [2, 3])
-_POINTS = ", ".join(f"({i}, {g:.2f}::DOUBLE, {s:.2f}::DOUBLE, {m:.2f}::DOUBLE, {c})" for i, g, s, m, c in _GRID)
+def _grid_sql(points) -> str:
+    rows = ", ".join(f"({i}, {g:.2f}::DOUBLE, {s:.2f}::DOUBLE, {m:.2f}::DOUBLE, {c})" for i, g, s, m, c in points)
+    return f"""WITH {o.scores(35)}, {o.TRUTH}, grid(point, gate, sibling, margin, cap) AS (VALUES {rows}), counted AS (SELECT s1_id, matched, len(matched) AS nt FROM truth),
+few AS MATERIALIZED (SELECT * FROM (SELECT s1_id, t_id, p, max(p) OVER (PARTITION BY s1_id) AS top, row_number() OVER (PARTITION BY s1_id, substr(t_id, 1, 2) ORDER BY p DESC, cand_rank) AS nth FROM scores) WHERE nth <= 4),
+hits AS MATERIALIZED (SELECT few.*, nt, list_contains(matched, t_id) AS hit FROM few JOIN counted USING (s1_id)),
+taken AS (SELECT point, s1_id, nt, count(*) AS n, count_if(hit) AS tp FROM hits, grid WHERE top >= gate AND p >= greatest(sibling, top - margin) AND nth <= cap GROUP BY ALL),
+summed AS (SELECT point, sum(CASE WHEN tp = 0 THEN 0.0 ELSE 1.25 * tp / (1.25 * tp + (n - tp) + 0.25 * (nt - tp)) END) AS f, count_if(nt = 0) AS wrong FROM taken GROUP BY point),
+every AS (SELECT count(*) AS n, count_if(nt = 0) AS none FROM counted)
+SELECT point, gate, sibling, margin, cap AS max_per_source, round(CAST((coalesce(f, 0.0) + none - coalesce(wrong, 0)) / n AS DOUBLE), 6) AS macro_f05 FROM grid LEFT JOIN summed USING (point), every"""
+
+
+def _searched(spark, d, points):
+    return training.grid_scores(_scores(spark, d, 35)[0], truth(spark, d), points).withColumn("macro_f05", F.round("macro_f05", 6))
 
 
-@query(f"""WITH {_S}, {o.TRUTH}, grid(point, gate, sibling, margin, cap) AS (VALUES {_POINTS}), tops AS (SELECT *, max(p) OVER (PARTITION BY s1_id) AS top FROM scores),
-pass AS (SELECT point, cap, s1_id, t_id, row_number() OVER (PARTITION BY point, s1_id, substr(t_id, 1, 2) ORDER BY p DESC, cand_rank) AS n FROM tops, grid WHERE top >= gate AND p >= greatest(sibling, top - margin)),
-kept AS (SELECT point, s1_id, list(t_id) AS l FROM pass WHERE n <= cap GROUP BY ALL),
-f AS (SELECT grid.point, len(matched) AS nt, len(coalesce(l, [])) AS n, len(list_intersect(matched, coalesce(l, []))) AS tp FROM grid CROSS JOIN truth LEFT JOIN kept ON kept.point = grid.point AND kept.s1_id = truth.s1_id)
-SELECT point, gate, sibling, margin, cap AS max_per_source, round(CAST(avg(CASE WHEN nt = 0 THEN CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END WHEN tp = 0 THEN 0.0 ELSE 1.25 * tp / (1.25 * tp + (n - tp) + 0.25 * (nt - tp)) END) AS DOUBLE), 6) AS macro_f05 FROM f JOIN grid USING (point) GROUP BY ALL""")
+_FULL, _SMALL = training.grid(*training.FULL_GRID), training.grid(*training.SMALL_GRID)
+
+
+@query(_grid_sql(_FULL))
 def threshold_grid_search(spark, d):
-    return training.grid_scores(_scores(spark, d)[0], truth(spark, d), _GRID).withColumn("macro_f05", F.round("macro_f05", 6))
+    """The grid of training, all 900 points."""
+    return _searched(spark, d, _FULL)
+
+
+@query(_grid_sql(_SMALL))
+def threshold_calibration(spark, d):
+    """The grid of calibration, all 300 points."""
+    return _searched(spark, d, _SMALL)
 
 
 @query()
 def gbt_scores(spark, d):
-    """Trees fitted on mined pairs; small here, its production size is in ``scoring.PRODUCTION``."""
+    """Trees fitted on mined pairs, over the candidates of training. Few and small trees: one boosting round after the other makes 350 of depth 8 a matter of hours on one machine; ``scoring.PRODUCTION`` has that size."""
     s1, targets = _entities(spark, d)
-    found = linkage.candidate_pairs(s1, targets, 6)
-    mined = training.training_pairs(tsv.truth_edges(truth(spark, d)), found, s1, targets)
-    rows = linkage.pair_features(s1, targets, mined.withColumn("cand_rank", F.lit(1))).join(mined, ["s1_id", "t_id"]).cache()
+    found = stash(linkage.candidate_pairs(s1, targets, 35), "candidates")
+    mined = stash(training.training_pairs(tsv.truth_edges(truth(spark, d)), found, s1, targets), "mined")
+    rows = stash(linkage.pair_features(s1, targets, mined.select("s1_id", "t_id").withColumn("cand_rank", F.lit(1))).join(mined, ["s1_id", "t_id"]), "training")
     model = scoring.fit_trees(rows, maxIter=5, maxDepth=4, minInstancesPerNode=1)
-    rows.unpersist()
     return scoring.trees(linkage.pair_features(s1, targets, found), model).drop("s1_ord")

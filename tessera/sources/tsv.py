@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,13 +29,26 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType = RECORD, colu
     line = first_line(spark, path)
     if line is None or len(line.split("\t")) <= 1:
         raise ValueError(f"{path}: the header has no tab; the file is malformed")
-    df = spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", "").csv(path)
-    df = df.withColumn("ord", F.monotonically_increasing_id())  # rises in file order; read again from the same files it is the same
+    df = numbered(spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", "").csv(path), "ord")
     if head:
         df = df.orderBy("ord").limit(head)
     return df.select(*columns, "ord") if columns else df
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Rows read from files with their number, from 0 without gaps: by file name, then by place in the file.
+
+    A file is read in splits, and splits are dealt to tasks by size; the rows of one split stay together
+    and in order.  So splits are counted first, their counts are summed in file order, and each row's
+    place in its split is added.
+    """
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"))
+    sizes = rows.groupBy("_file", "_split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each split
+    starts = sizes.select("_file", "_split", (before - F.col("_first")).alias("_shift"))
+    return rows.join(starts, ["_file", "_split"]).withColumn(name, F.col("_id") + F.col("_shift")).drop("_file", "_split", "_id", "_shift")
+
+
 def stream_tsv(spark: SparkSession, path: str, schema: T.StructType = RECORD, files_per_batch: int = 1) -> DataFrame:
     """The same files as a stream, some files at a time."""
     return spark.readStream.schema(schema).option("sep", "\t").option("header", True).option("quote", "").option("maxFilesPerTrigger", files_per_batch).csv(path)
@@ -65,13 +79,35 @@ def read_truth(spark: SparkSession, path: str, head: int | None = None) -> DataF
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """The distinct ids of a file's first column."""
-    return spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path).toDF("entity_id", *_rest(spark, path)).select("entity_id").where("trim(entity_id) <> ''").distinct()
+    rows = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path).toDF("entity_id", *_rest(spark, path))
+    return rows.select(F.trim("entity_id").alias("entity_id")).where("entity_id <> ''").distinct()
 
 
 def _rest(spark: SparkSession, path: str) -> list[str]:
     return [f"_c{i}" for i in range(1, len((first_line(spark, path) or "").split("\t")))]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever file system it names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_match_ids(spark: SparkSession, folder: str, names: tuple[str, ...] = ("test_source2.tsv", "test_source3.tsv")) -> tuple[DataFrame | None, list[str]]:
+    """(the distinct ids of all target files, warnings); no ids and a warning for each file that is missing."""
+    missing = [n for n in names if not exists(spark, f"{folder}/{n}")]
+    if missing:
+        return None, [f"{folder}/{n} is missing; ids are not checked to exist" for n in missing]
+    ids = [read_ids(spark, f"{folder}/{n}") for n in names]
+    return reduce(DataFrame.union, ids).distinct(), []
+
+
+def read_targets(spark: SparkSession, folder: str, kind: str, columns: list[str] | None = None) -> DataFrame:
+    """All target records of a folder, those of source 2 before those of source 3."""
+    s2, s3 = (read_tsv(spark, f"{folder}/{kind}_source{n}.tsv", columns=columns) for n in (2, 3))
+    return s2.unionByName(s3.withColumn("ord", F.col("ord") + (1 << 60)))
+
+
 def source_of(c: Column) -> Column:
     """S1, S2 or S3 by the id's prefix; null for others."""
     return F.when(c.rlike("^S[123]-"), F.substring(c, 1, 2))
@@ -91,6 +127,23 @@ def write_lists(lists: DataFrame, path: str, single_file: bool = False) -> None:
     out.write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").option("quote", "").csv(path)
 
 
+def write_file(lists: DataFrame, path: str) -> None:
+    """The same as one file at ``path``, put in place when it is whole."""
+    spark = lists.sparkSession
+    write_lists(lists, f"{path}.parts", single_file=True)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    parts, to = files.Path(f"{path}.parts"), files.Path(path)
+    store = parts.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(x.getPath() for x in store.listStatus(parts) if x.getPath().getName().startswith("part-"))
+    store.delete(to, True)
+    if not store.rename(part, to):
+        raise OSError(f"{path} could not be written")
+    store.delete(parts, True)
+    beside = os.path.join(os.path.dirname(to.toUri().getPath()), f".{to.getName()}.crc")
+    if os.path.exists(beside):  # a local file's checksum, which would make an error of any edit
+        os.remove(beside)
+
+
 def find_dataset(candidates: list[str | None]) -> str:
     """The first folder that has a ``train`` or ``test`` folder in it."""
     for path in candidates:
@@ -99,18 +152,32 @@ def find_dataset(candidates: list[str | None]) -> str:
     raise FileNotFoundError("no folder with train/ or test/ among: " + ", ".join(map(str, candidates)))
 
 
+# The names of thresholds in files, and what holds where neither a file nor the caller says.
+FILE_KEYS = {"gate": ("gate_threshold", "best_threshold"), "sibling": ("sibling_threshold",), "margin": ("best_margin",), "max_per_source": ("max_per_source",)}
 DEFAULTS = {"gate": 0.58, "sibling": 0.38, "margin": 0.22, "max_per_source": 3}
+HYBRID_DEFAULTS = {"gate": 0.58, "sibling": 0.35, "margin": 0.25, "max_per_source": 3}
+# End of fixed values.
 
 
-def load_thresholds(path: str | None, given: dict | None = None, file_wins: bool = False) -> dict:
+def load_thresholds(path: str | None, given: dict | None = None, file_wins: bool = False, defaults: dict = DEFAULTS) -> dict:
     """Thresholds of a JSON file and given ones; those given win unless ``file_wins``. Defaults fill the rest."""
-    held = {k: v for k, v in (json.loads(Path(path).read_text()) if path and os.path.isfile(path) else {}).items() if k in DEFAULTS}
+    held = json.loads(Path(path).read_text()) if path and os.path.isfile(path) else {}
+    held = {k: next(held[n] for n in names if n in held) for k, names in FILE_KEYS.items() if any(n in held for n in names)}
+    held = {k: int(v) if k == "max_per_source" else float(v) for k, v in held.items()}
     given = {k: v for k, v in (given or {}).items() if v is not None}
-    return DEFAULTS | (given | held if file_wins else held | given)
+    return defaults | (given | held if file_wins else held | given)
+
+
+def save_thresholds(path: str, thresholds: dict, f05: float | None = None) -> None:
+    """The six keys of a threshold file."""
+    found = defaults_with(thresholds)
+    out = {"gate_threshold": found["gate"], "sibling_threshold": found["sibling"], "best_threshold": found["gate"], "best_margin": found["margin"], "max_per_source": found["max_per_source"], "val_f05": f05}
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    Path(path).write_text(json.dumps(out, indent=2))
 
 
-def save_thresholds(path: str, thresholds: dict) -> None:
-    Path(path).write_text(json.dumps(thresholds, indent=2))
+def defaults_with(thresholds: dict) -> dict:
+    return DEFAULTS | {k: v for k, v in thresholds.items() if k in DEFAULTS and v is not None}
 
 
 def first_rows(df: DataFrame, per: list[str], order: list, n: int) -> DataFrame:

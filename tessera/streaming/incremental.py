@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from tessera.operators import decide
 from tessera.operators.normalize import normalized
 from tessera.plans.linkage import candidate_pairs, linear_scores
+from tessera.storage import stash
 
 
 def start(s1_records: DataFrame, stream: DataFrame, out: str, checkpoint: str, k: int = 35, gate: float = 0.58):
     """A running query that writes passing scores of each batch to ``out``/batch=<n>."""
-    s1 = normalized(s1_records).cache()
+    s1 = stash(normalized(s1_records), "s1")
 
     def batch(rows: DataFrame, number: int) -> None:
         targets = normalized(rows)

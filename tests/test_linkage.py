@@ -1,8 +1,10 @@
 """Blocking and decisions against plain restatements; evaluation, training, validation, files, streaming."""
 
+import json
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,148 @@ def test_grid():
     assert len(training.grid(*training.FULL_GRID)) == 900 and len(training.grid(*training.SMALL_GRID)) == 300
 
 
+def plain_grid(scores, truth, points):
+    """Every point over every entity, one after the other."""
+    own = defaultdict(list)
+    for s, t, rank, p in scores:
+        own[s].append((-p, rank, t))
+    out = {}
+    for i, gate, sibling, margin, cap in points:
+        total = 0.0
+        for s, true in truth.items():
+            pairs, taken, used = sorted(own[s]), set(), defaultdict(int)
+            if pairs and -pairs[0][0] >= gate:
+                for q, _, t in pairs:
+                    if -q >= max(sibling, -pairs[0][0] - margin) and (t[:2] not in ("S2", "S3") or used[t[:2]] < cap):
+                        taken.add(t)
+                        used[t[:2]] += 1
+            tp = len(taken & true)
+            total += (not taken) if not true else 1.25 * tp / (1.25 * tp + len(taken) - tp + 0.25 * (len(true) - tp)) if tp else 0.0
+        out[i] = round(total / len(truth), 9)
+    return out
+
+
+def test_grid_scores_equal_the_loop(spark):
+    rnd = random.Random(4)
+    truth = {f"S1-{i}": set(rnd.sample([f"S{j}-{n}" for j in (2, 3) for n in range(5)], rnd.choice([0, 0, 1, 2, 5]))) for i in range(60)}
+    scores = [(s, t, r, round(rnd.choice([0.2, 0.35, 0.5, 0.5, 0.66, 0.8, 0.9]), 2)) for s in truth if rnd.random() < 0.9 for r, t in enumerate(rnd.sample([f"{j}-{n}" for j in ("S2", "S3", "X") for n in range(5)], rnd.randint(1, 15)))]
+    points = training.grid([0.4, 0.5, 0.85], [0.2, 0.4], [0.15, 0.3], [1, 2, 3])
+    lists = spark.createDataFrame([(s, sorted(m)) for s, m in truth.items()], "s1_id string, matched array<string>")
+    got = training.grid_scores(spark.createDataFrame(scores, "s1_id string, t_id string, cand_rank int, p double"), lists, points).collect()
+    assert {r.point: r.macro_f05 for r in got} == pytest.approx(plain_grid(scores, truth, points), abs=2e-9) and len(got) == len(points)
+
+
+def test_blocks_of_long_lists_are_numbered_through(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "BLOCK_ROWS", 7)
+    rnd = random.Random(3)
+    rows = [(f"t{i}", i, "US", rnd.choice([0, 2, 8]), o, rnd.choice("ab")) for i in range(200) for o in range(rnd.choice([1, 2]))]
+    got = {(r.key_rank, r.key, r.pos): r.t_id for r in blocking.posting_lists(spark.createDataFrame(rows, "id string, ord long, country string, key_rank int, key_ord int, key string").repartition(6)).collect()}
+    want = {}
+    for rank in (0, 2, 8):
+        for key in "ab":
+            for pos, r in enumerate(sorted((r for r in rows if r[3] == rank and r[5] == key), key=lambda r: (r[1], r[4])), 1):
+                want[rank, key, pos] = r[0]
+    assert got == want
+
+
+def test_serving_features_of_empty_names(spark):
+    """Two empty names are not an equal name."""
+    e = spark.createDataFrame([("a", 1, "US", "", "", "12 mg road pune", "", "12", "12"), ("S2-1", 2, "US", "", "", "12 mg road pune", "", "12", "12"), ("S2-2", 3, "US", "acme", "acme", "", "", "", "")], "id string, ord long, country string, norm_name string, base_name string, norm_addr string, postal_code string, house_num string, addr_nums string")
+    found = spark.createDataFrame([("a", "S2-1", 1), ("a", "S2-2", 2)], "s1_id string, t_id string, cand_rank int")
+    rows = {r.t_id: r for r in linkage.pair_features(e, e, found, "serving").collect()}
+    for name in ("name_exact", "name_unspaced_match", "name_jaccard", "name_qgram_jaccard", "name_lcp_ratio", "name_soundex_match", "name_base_jaccard", "name_shared_tokens_count"):
+        assert rows["S2-1"][name] == 0.0, name
+    assert rows["S2-1"].addr_exact == 1.0
+
+
+def toy_encoder():
+    """Token vectors of word lengths and first letters."""
+
+    def run(texts):
+        words = [t.split() for t in texts]
+        most = max(map(len, words))
+        vectors, mask = np.zeros((len(texts), most, 3)), np.zeros((len(texts), most), dtype=np.int64)
+        for i, own in enumerate(words):
+            for j, w in enumerate(own):
+                vectors[i, j], mask[i, j] = (len(w), ord(w[0]) - 96, 1), 1
+        return vectors, mask
+
+    return run
+
+
+def test_encoder(spark):
+    names = spark.createDataFrame([("a", "acme co"), ("b", "tata"), ("c", ""), ("d", None)], "id string, name string")
+    got = {r.id: r.vec for r in scoring.encode(names, toy_encoder, 1).collect()}
+    assert set(got) == {"a", "b"}
+    want = np.array([3.0, 2.0, 1.0])
+    assert np.allclose(got["a"], want / np.linalg.norm(want), atol=1e-6)
+    s1, targets = world(spark, SF)
+    s1 = s1.where("k < 60")
+    _, plain = linkage.predict_hybrid(s1, targets)
+    found, matches = linkage.predict_hybrid(s1, targets, make_encoder=toy_encoder)
+    assert matches.count() > 0 and {(r.s1_id, r.t_id) for r in matches.collect()} <= {(r.s1_id, r.t_id) for r in found.collect()}
+    assert plain.count() > 0
+
+
+def test_rows_of_many_files_are_numbered_in_file_order(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    n = 0
+    for f in range(4):
+        size = (50, 4000, 1, 700)[f]
+        (tmp_path / "in" / f"part-{f}.tsv").write_text("entity_id\tcountry\n" + "".join(f"{n + i}\tUS\n" for i in range(size)))
+        n += size
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = tsv.read_tsv(spark, str(tmp_path / "in"), spark.createDataFrame([], "entity_id string, country string").schema).collect()
+        assert len(rows) == n and all(int(r.entity_id) == r.ord for r in rows)
+        lines = validate.read_lines(spark, str(tmp_path / "in" / "part-1.tsv")).collect()
+        assert sorted(r.line_no for r in lines) == list(range(2, 4002)) and all(int(r.value.split("\t")[0]) == r.line_no + 48 for r in lines)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def dataset(spark, root):
+    """The linkage world as the files that the commands read."""
+    s1, targets = world(spark, SF)
+    s1 = s1.where("k < 80")
+    for kind in ("train", "test"):
+        (root / kind).mkdir(parents=True)
+        for name, rows in (("source1", s1), ("source2", targets.where("source = 'S2'")), ("source3", targets.where("source = 'S3'"))):
+            lines = ["\t".join(x or "" for x in r) for r in rows.orderBy("ord").select(*tsv.RECORD.names).collect()]
+            (root / kind / f"{kind}_{name}.tsv").write_text("\n".join(["\t".join(tsv.RECORD.names), *lines]) + "\n")
+    lists = "".join(f"{r.s1_id}\t{','.join(r.matched)}\n" for r in truth(spark, SF).collect())
+    (root / "train" / "train_ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + lists)
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    from tessera import cli
+
+    root, out = tmp_path / "data", tmp_path / "out"
+    dataset(spark, root)
+    data, files = ["--data-dir", str(root)], [str(tmp_path / "model"), str(tmp_path / "t.json")]
+    assert cli.run(spark, ["predict", *data, "--model-path", files[0]]) == 1 and "no such file" in capsys.readouterr().err
+    assert cli.run(spark, ["predict", "--data-dir", str(tmp_path / "nowhere"), "--linear"]) == 1
+    monkeypatch.setattr(training, "FULL_GRID", ([0.5], [0.3], [0.2], [3]))
+    monkeypatch.setattr(training, "SMALL_GRID", ([0.4, 0.5], [0.3], [0.2], [3]))
+    assert cli.run(spark, ["train", *data, "--model-out", files[0], "--threshold-out", files[1], "--trees", "2"]) == 0
+    assert set(json.loads((tmp_path / "t.json").read_text())) == {"gate_threshold", "sibling_threshold", "best_threshold", "best_margin", "max_per_source", "val_f05"}
+    assert cli.run(spark, ["calibrate", *data, "--model-path", files[0], "--out-path", str(tmp_path / "c.json")]) == 0
+    assert cli.run(spark, ["predict", *data, "--model-path", files[0], "--threshold-path", files[1], "--output-dir", str(out)]) == 0
+    check = ["validate", "-m", str(out / "matching_results.tsv"), "-c", str(out / "candidate_pairs.tsv"), "-t", str(root / "test"), "--check-ids"]
+    assert cli.run(spark, check) == 0 and "PASS" in capsys.readouterr().out
+    assert cli.run(spark, ["hybrid", *data, "--linear", "--limit", "5", "--output-dir", str(tmp_path / "h"), "--encoder", "tests.test_linkage:toy_encoder"]) == 0
+    assert len((tmp_path / "h" / "matching_results.tsv").read_text().splitlines()) == 6
+    (out / "matching_results.tsv").write_text((out / "matching_results.tsv").read_text() + "S1-999999\tS2-000001\n")
+    assert cli.run(spark, check) == 1 and "unexpected_entity" in capsys.readouterr().out
+    (root / "test" / "test_source3.tsv").unlink()
+    assert cli.run(spark, [*check[:2], str(tmp_path / "h" / "matching_results.tsv"), *check[3:]]) == 1
+    assert "test_source3.tsv is missing" in capsys.readouterr().out
+    assert cli.run(spark, ["audit", *data]) == 0
+    said = capsys.readouterr().out
+    assert "test S3: no file" in said and "train: targets cover all countries" in said and "pair_recall" in said
+    assert cli.run(spark, ["pipeline", "--mode", "predict", *data]) == 1
+
+
 def test_training_ceiling(spark):
     pairs = spark.createDataFrame([(f"S1-{i}", f"t{j}", 0) for i in range(50) for j in range(4)], "s1_id string, t_id string, label int")
     kept = training.limit_pairs(pairs, 30).groupBy("s1_id").count().collect()
@@ -158,16 +302,21 @@ def test_files(spark, tmp_path):
 
 def test_thresholds(tmp_path):
     path = str(tmp_path / "t.json")
-    tsv.save_thresholds(path, {"gate": 0.7, "sibling": 0.3})
+    tsv.save_thresholds(path, {"gate": 0.7, "sibling": 0.3}, 0.9)
+    assert json.loads((tmp_path / "t.json").read_text()) == {"gate_threshold": 0.7, "sibling_threshold": 0.3, "best_threshold": 0.7, "best_margin": 0.22, "max_per_source": 3, "val_f05": 0.9}
     assert tsv.load_thresholds(path, {"gate": 0.5})["gate"] == 0.5 and tsv.load_thresholds(path, {"gate": 0.5}, True)["gate"] == 0.7
-    assert tsv.load_thresholds(None) == tsv.DEFAULTS
+    assert tsv.load_thresholds(None) == tsv.DEFAULTS and tsv.load_thresholds(None, {"margin": 0.1}, True, tsv.HYBRID_DEFAULTS) == {"gate": 0.58, "sibling": 0.35, "margin": 0.1, "max_per_source": 3}
+    (tmp_path / "old.json").write_text('{"best_threshold": 0.61, "max_per_source": 2.0}')
+    assert tsv.load_thresholds(str(tmp_path / "old.json")) == {"gate": 0.61, "sibling": 0.38, "margin": 0.22, "max_per_source": 2}
 
 
 def test_trees_and_model_files(spark, tmp_path):
     s1, targets = world(spark, SF)
-    model, found = linkage.train(s1, targets, truth(spark, SF), k=6, points=training.grid([0.5], [0.3], [0.2], [3]), maxIter=2, maxDepth=3, minInstancesPerNode=1)
+    model, found, score = linkage.train(s1, targets, truth(spark, SF), k=6, points=training.grid([0.5], [0.3], [0.2], [3]), evaluate=20, maxIter=2, maxDepth=3, minInstancesPerNode=1)
     scoring.save_model(model, str(tmp_path / "m"))
-    assert scoring.load_model(str(tmp_path / "m")).numFeatures == 45 and found.max_per_source == 3
+    assert scoring.load_model(str(tmp_path / "m")).numFeatures == 45 and found.max_per_source == 3 and 0 < score <= 1
+    again, _ = linkage.calibrate(s1, targets, truth(spark, SF), model, 6, training.grid([0.4, 0.6], [0.3], [0.2], [3]))
+    assert again.gate in (0.4, 0.6)
 
 
 def test_stream(spark, tmp_path):

@@ -15,11 +15,11 @@ def one(spark, values, f, schema="x string"):
 
 
 def test_country(spark):
-    assert one(spark, [None, "", "  france ", "   "], text.normalize_country(F.col("x"))) == ["UNKNOWN", "UNKNOWN", "FRANCE", ""]
+    assert one(spark, [None, "", "  france ", "   ", "\t new\u00a0zealand\u3000\n"], text.normalize_country(F.col("x"))) == ["UNKNOWN", "UNKNOWN", "FRANCE", "", "NEW\u00a0ZEALAND"]
 
 
 def test_names(spark):
-    cases = {"Tata Pvt Ltd": "tata private limited limited", "Café & Société SARL": "cafe and company sarl", "h0tel.com": "hotel", "Acme L.L.C.": "acme l l c", None: "", "": "", "½ ™ ﬁx ß 12": "12 tm fix 12", "A1 Müller Co": "al muller company"}
+    cases = {"Tata Pvt Ltd": "tata private limited limited", "Café & Société SARL": "cafe and company sarl", "h0tel.com": "hotel", "Acme L.L.C.": "acme l l c", None: "", "": "", "½ ™ ﬁx ß 12": "12 tm fix 12", "A1 Müller Co": "al muller company", "𝐀𝓬𝔪𝖾 ㎏ Ⅻ 𝟏𝟐 —’🙂": "acme kg xii 12"}
     assert one(spark, list(cases), text.normalize_name(F.col("x"))) == list(cases.values())
     assert one(spark, ["tata private limited limited", "sa limited", "ab limited"], text.base_name(F.col("x"))) == ["tata", "sa limited", "ab limited"]
 
@@ -91,3 +91,33 @@ def test_partial_ratio_skips_no_window():
 def test_sql_functions(spark):
     sim.register(spark)
     assert spark.sql("SELECT token_sort_ratio('b a', 'a b'), fuzzy_scores('abc', 'abc').partial").first() == (1.0, 1.0)
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def plain_partial(a, b):
+    """Every window of the longer string, cut ones included."""
+    if not a or not b:
+        return 100.0 * (a == b)
+    pairs = [(a, b), (b, a)] if len(a) == len(b) else [tuple(sorted((a, b), key=len))]
+    windows = [(s, x[max(i, 0) : i + len(s)]) for s, x in pairs for i in range(1 - len(s), len(x))]
+    return max(200.0 * plain_lcs(s, w) / (len(s) + len(w)) for s, w in windows)
+
+
+def test_batches_equal_the_definitions():
+    draw = random.Random(7)
+    texts = ["".join(draw.choices("ab cdé𝐀", k=draw.choice([0, 1, 2, 7, 20, 64, 65, 80]))) for _ in range(400)]
+    a, b = texts[:200], texts[200:]
+    assert sim.lcs_many(a, b).tolist() == [plain_lcs(x, y) for x, y in zip(a, b)] == [sim.lcs(x, y) for x, y in zip(a, b)]
+    assert sim.partial_ratios(a[:80], b[:80]).tolist() == pytest.approx([plain_partial(x, y) for x, y in zip(a[:80], b[:80])])
+    assert sim.partial_ratios(a, b).tolist() == pytest.approx([sim.partial_ratio(x, y) for x, y in zip(a, b)])
+    assert sim.partial_ratios([], []).tolist() == sim.lcs_many([], []).tolist() == []
+    many = [chr(0x4E00 + i) for i in range(3000)]
+    assert sim.lcs_many(["".join(many[:50])] * 3, ["".join(many[25:])] * 3).tolist() == [25] * 3
