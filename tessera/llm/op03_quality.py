@@ -171,11 +171,14 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 
 def concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """One step: mean and covariance of the ``SHARE`` points nearest by the estimate before."""
-    near = _distance(_with(rows, estimates.select(*_KEY, *_ESTIMATE)))
-    cut = near.groupBy(*_KEY).agg(F.percentile_approx("d", SHARE, 1000).alias("cut"))
-    salted = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return stash(_factor(_moments(near.join(salted, [*_KEY, "salt"]).where("d <= cut"))), "mcd")
+    """One step: mean and covariance of the ``SHARE`` points nearest by the estimate before.
+
+    The cut of each group is written before it is joined, so its size is known and the points stay where they are.
+    """
+    estimates = estimates.select(*_KEY, *_ESTIMATE)
+    cut = _distance(_with(rows, estimates)).groupBy(*_KEY).agg(F.percentile_approx("d", SHARE, 1000).alias("cut"))
+    held = stash(estimates.join(cut, _KEY), "mcd")
+    return stash(_factor(_moments(_distance(_with(rows, held)).where("d <= cut"))), "mcd")
 
 
 def determinants(rows: DataFrame) -> DataFrame:
