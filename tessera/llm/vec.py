@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Bytes of text handled by one set of numpy passes; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bytes hashed at once: a longer text is taken in blocks that end between words.
+BLOCK_BYTES = 4 << 20
 
 U64 = np.uint64
 _MUL = U64(0x9E3779B97F4A7C15)
@@ -65,6 +67,35 @@ def _upto(name: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def _gap(data: np.ndarray, table: np.ndarray, at: int) -> int:
+    """The first separator from ``at`` on, or the end."""
+    while at < len(data):
+        found = np.flatnonzero(table[data[at : at + 4096]] == 0)
+        if len(found):
+            return at + int(found[0])
+        at += 4096
+    return len(data)
+
+
+def _words(data: np.ndarray, cuts: np.ndarray, table: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the words of a block; no word goes across a cut."""
+    n = len(data)
+    v = table[data]
+    is_word = v != 0
+    begin, stop = is_word.copy(), is_word.copy()
+    begin[1:] &= ~is_word[:-1]
+    stop[:-1] &= ~is_word[1:]
+    begin[cuts] = is_word[cuts]
+    stop[cuts - 1] = is_word[cuts - 1]
+    start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    v *= _upto("p", _P, n)
+    total = np.zeros(n + 1, dtype=U64)
+    np.cumsum(v, out=total[1:])
+    h = total[end] - total[start]
+    h *= _upto("i", _PINV, n)[start] if n else U64(1)
+    return start + shift, end + shift, mix(h)
+
+
 class Words:
     """Words of a slice of texts.
 
@@ -76,23 +107,13 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
         self.data, self.offsets = data, offsets
-        n = len(data)
-        v = table[data]
-        is_word = v != 0
-        begin, stop = is_word.copy(), is_word.copy()
-        begin[1:] &= ~is_word[:-1]
-        stop[:-1] &= ~is_word[1:]
-        cuts = offsets[1:-1]
-        cuts = cuts[(cuts > 0) & (cuts < n)]
-        begin[cuts] = is_word[cuts]
-        stop[cuts - 1] = is_word[cuts - 1]
-        self.start, self.end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-        v *= _upto("p", _P, n)
-        total = np.zeros(n + 1, dtype=U64)
-        np.cumsum(v, out=total[1:])
-        h = total[self.end] - total[self.start]
-        h *= _upto("i", _PINV, n)[self.start] if n else U64(1)
-        self.hash = mix(h)
+        n, lo, parts = len(data), 0, []
+        while lo < n or not parts:
+            hi = _gap(data, table, lo + BLOCK_BYTES)
+            cuts = offsets[1:-1]
+            parts.append(_words(data[lo:hi], cuts[(cuts > lo) & (cuts < hi)] - lo, table, lo))
+            lo = hi
+        self.start, self.end, self.hash = parts[0] if len(parts) == 1 else map(np.concatenate, zip(*parts, strict=True))
         self.first = np.searchsorted(self.start, offsets)
 
     def counts(self) -> np.ndarray:

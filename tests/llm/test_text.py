@@ -31,6 +31,17 @@ def test_words_are_those_of_the_pattern(table, pattern, fold):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_blocks_of_a_long_text_change_nothing(monkeypatch):
+    draw = random.Random(3)
+    texts = [" ".join("".join(draw.choices("abé,", k=draw.randint(0, 9))) for _ in range(400)), "", "x" * 9000 + " y", None, "\t".join("ab" for _ in range(300))]
+    columns = list(vec.slices(pa.array(texts, pa.string()), 1 << 20))
+    want = [vec.Words(data, offsets, vec.ALNUM_WORDS) for _, _, data, offsets in columns]
+    monkeypatch.setattr(vec, "BLOCK_BYTES", 100)
+    for w, (_, _, data, offsets) in zip(want, columns, strict=True):
+        got = vec.Words(data, offsets, vec.ALNUM_WORDS)
+        assert all((getattr(got, x) == getattr(w, x)).all() and len(getattr(got, x)) == len(getattr(w, x)) for x in ("start", "end", "hash", "first"))
+
+
 def test_windows_stay_inside_their_text():
     texts = ["a b c", "", "d e", None, "f g h i"]
     (_, _, data, offsets), *_ = vec.slices(pa.array(texts, pa.string()))
