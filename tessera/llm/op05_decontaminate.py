@@ -7,7 +7,7 @@ fixes the window's place, which must lie inside the text (length and positional
 word of the window is then compared.
 
 Benchmark and documents are both tables, of any size.  No index is held anywhere: each pass over
-the documents carries a bit table (at most ``1 << MOST_BITS`` bits, 32 MB) that turns away words whose
+the documents carries a bit table of bounded size (``bits.MOST_BITS``, 32 MB) that turns away words whose
 token no window has, and an equi-join decides.  A wrong bit costs a row in that join.  Candidates
 carry the words around them, and results go back by a key of the text (128 bits), so copies of a
 text are verified once and no text is shuffled; rows without a candidate are not joined at all.
@@ -27,12 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
+from .bits import Bits
 from .common import map_arrow, stash
 
 WINDOW = 10
 SHINGLE = 3
-#: Bits of the table that turns words away: over 1,000 for each token, within these powers of two; a token has two.
-LEAST_BITS, MOST_BITS = 20, 28
 _TEXT = ["t1", "t2"]
 _KEY = ["k1", "k2"]
 
@@ -88,25 +87,11 @@ def shingles_of(windows: DataFrame, shingle: int) -> DataFrame:
     return map_arrow(windows.select(*_KEY, "words"), work, "k1 long, k2 long, place int, s int, h long")
 
 
-class Bits:
-    """A table of bits for a column of hashes, sized by their number within fixed bounds; ``sizes`` are the shingle lengths there are."""
+class Tokens:
+    """The tokens of shingles (s, h): their bits, and the lengths there are."""
 
     def __init__(self, rows: DataFrame):
-        n, sizes = rows.agg(F.count(F.lit(1)), F.collect_set("s")).first()
-        self.sizes, self.size = sorted(sizes), 1 << min(max(n.bit_length() + 10, LEAST_BITS), MOST_BITS)
-        slots = rows.select(F.explode(F.array("h", F.shiftright("h", 32))).alias("h")).select(F.col("h").bitwiseAND(F.lit(self.size - 1)).alias("slot"))
-        held = slots.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("b")).toArrow()  # size / 64 rows at most
-        table = np.zeros(self.size // 64, dtype=np.int64)
-        table[held["w"].to_numpy()] = held["b"].to_numpy()
-        self.table = table.view(np.uint8)
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        at = self._set(h)
-        return at[self._set(h[at].view(np.int64) >> 32)]
-
-    def _set(self, h: np.ndarray) -> np.ndarray:
-        slot = h.view(np.int64) & (self.size - 1)
-        return np.flatnonzero(self.table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+        self.sizes, self.bits = sorted(rows.agg(F.collect_set("s")).first()[0]), Bits(rows, F.col("h"))
 
     def hits(self, words: vec.Words):
         """(positions, hashes) of the shingles of a slice that pass, for each length."""
@@ -114,23 +99,23 @@ class Bits:
         for k in self.sizes:
             at = np.flatnonzero(text[: max(len(text) - k + 1, 0)] == text[k - 1 :])
             h = _sized(runs, at, k)
-            ok = self(h)
+            ok = self.bits(h)
             yield at[ok], h[ok]
 
 
-def _counts(documents: DataFrame, bits) -> DataFrame:
-    """(h, n): how often each shingle that passes the bits occurs in all documents."""
+def _counts(documents: DataFrame, tokens) -> DataFrame:
+    """(h, n): how often each shingle that may be a token occurs in all documents."""
 
     def work(batch: pa.RecordBatch):
         for _, _, data, offsets in vec.slices(batch.column("text")):
-            found = [h for _, h in bits.value.hits(vec.Words(data, offsets, vec.ALNUM_WORDS))]
+            found = [h for _, h in tokens.value.hits(vec.Words(data, offsets, vec.ALNUM_WORDS))]
             key, n = np.unique(np.concatenate(found) if found else np.zeros(0, dtype=vec.U64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     return map_arrow(documents.select("text"), work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _candidates(documents: DataFrame, bits, size: int) -> DataFrame:
+def _candidates(documents: DataFrame, tokens, size: int) -> DataFrame:
     """One row for each document, with its number of words, and one for each candidate (``h`` is not null): place, words before it, words around it."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
@@ -139,7 +124,7 @@ def _candidates(documents: DataFrame, bits, size: int) -> DataFrame:
             words = vec.Words(data, offsets, vec.ALNUM_WORDS)
             n = hi - lo
             ids, t1, t2 = (batch.column(c).slice(lo, n) for c in ("doc_id", *_TEXT))
-            found = list(bits.value.hits(words))
+            found = list(tokens.value.hits(words))
             at = np.concatenate([a for a, _ in found]) if found else np.zeros(0, dtype=np.int64)
             h = np.concatenate([x for _, x in found]) if found else np.zeros(0, dtype=vec.U64)
             text = np.searchsorted(words.first, at, side="right") - 1
@@ -175,11 +160,11 @@ def _matches(documents: DataFrame, benchmark: DataFrame, size: int, shingle: int
     shingles = shingles_of(windows.dropDuplicates(_KEY), shingle)
     shingles = stash(shingles, "shingles")
     documents = documents.select("doc_id", "text", *_text_key())
-    counts = _counts(documents, held(Bits(shingles)))
+    counts = _counts(documents, held(Tokens(shingles)))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "place", "s")).alias("m")
     prefix = shingles.join(counts, "h", "left").groupBy(*_KEY).agg(rarest).select(*_KEY, "m.h", "m.place", "m.s")
     prefix = stash(prefix.join(windows.dropDuplicates(_KEY).select(*_KEY, "words"), _KEY), "prefixes")
-    rows = stash(_candidates(documents, held(Bits(prefix)), size), "candidates")
+    rows = stash(_candidates(documents, held(Tokens(prefix)), size), "candidates")
     found = rows.where("h is not null").groupBy(*_TEXT, "pos", "h").agg(F.first("before").alias("before"), F.first("around").alias("around"))
     hits = found.join(prefix, "h").where("before >= place and substring(around, 8 * (before - place) + 1, length(words)) = words")
     hits = hits.select(*_TEXT, (F.col("pos") - F.col("place")).alias("start"), F.expr("pos - place + length(words) div 8").cast("int").alias("end"), *_KEY)
@@ -222,8 +207,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, s
     """The documents without a hit; all columns stay. Rows with a null or repeated doc_id are judged by their texts like any other."""
     _, hits, _ = _matches(documents, benchmark, size, shingle)
     hit = stash(hits.select(*_TEXT).distinct(), "hit")
-    slots = Bits(hit.select(F.col("t1").alias("h"), F.lit(1).alias("s")))
-    held = documents.sparkSession.sparkContext.broadcast(slots)
+    held = documents.sparkSession.sparkContext.broadcast(Bits(hit, F.col("t1")))
 
     def suspect(batch: pa.RecordBatch):
         out = np.zeros(batch.num_rows, dtype=bool)
