@@ -1,7 +1,7 @@
 """Operator 7, near-duplicates by a MinHash LSH forest.
 
 A document's set holds its distinct shingles of ``words`` words.  Documents with equal sets are one
-class from the start (128-bit set key), stood for by their smallest doc_id.  Each class gets ``TREES``
+class from the start (128-bit set key), with the number of one of its rows.  Each class gets ``TREES``
 sort keys of ``DEPTH`` min-hashes; every tree is one sorted order of all classes.  Candidates of a
 class are its neighbours in each order, those with the longest common prefix first: up to
 ``REACH`` predecessors that share at least ``LEAST_DEPTH`` min-hashes.  In a sparse region that is
@@ -23,13 +23,14 @@ set's shingles in ``_PARITY`` buckets differ in no more buckets than the sets di
 Shingles of one component alone, or too late for the smaller set of any pair, are left out; those of more than ``_BLOCK`` classes are dealt to
 pairs of blocks, so no task holds more than two blocks of one shingle.
 
-Orders are dealt by range over (tree, key, hash of the id): equal keys of a large group spread over
-partitions.
+Orders are dealt by range over (tree, key, set key): equal keys of a large group spread over
+partitions.  Full sets are made only of documents that stand for a class with candidates: a bit table
+of bounded size turns most others away, and a join decides before any set is made.
 
 Defined results: a text without words (or null) has an empty set, is linked with nothing and kept;
-fewer words than a shingle make the whole sequence the one shingle; repeated rows of one doc_id
-share its component; rows with null doc_id are judged as not linked, with null component_id and kept
-true.  Only doc_id and text are read.
+fewer words than a shingle make the whole sequence the one shingle; all rows with words of one doc_id
+share a component, which links what any of their texts is linked with; rows with null doc_id are judged
+as not linked, with null component_id and kept true.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -38,10 +39,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
+from .bits import Bits
 from .common import map_arrow, stash
 from .graph import components
 
@@ -52,10 +54,9 @@ _HASHES = TREES * DEPTH
 _MISMATCHES = 37
 #: Candidates that a class keeps in one order: all of a few, else the most alike.
 _FEW, _BEST = 5, 3
-_SLOTS = 1 << 24
 _PARITY = 1024
 #: Slots of the table that orders the shingles of marked classes; classes in a block.
-_COUNTS, _BLOCK = 1 << 19, 4096
+_COUNTS, _BLOCK = 1 << 19, 1024
 _PAIR = "a long, b long, miss int"
 
 
@@ -91,6 +92,10 @@ def _minima(s: np.ndarray) -> np.ndarray:
     return best
 
 
+def _set_key(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    return vec.mix(s ^ vec.U64(0x6A09E667F3BCC909)).sum(), vec.mix(s ^ vec.U64(0xBB67AE8584CAA73B)).sum()
+
+
 def sign(documents: DataFrame, k: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, keys, sketch, parity): set size, 128-bit set key, sort keys, sketch and bucket parities."""
 
@@ -103,7 +108,7 @@ def sign(documents: DataFrame, k: int = WORDS) -> DataFrame:
             parity = np.zeros((hi - lo, _PARITY // 8), dtype=np.uint8)
             for i, s in enumerate(sets):
                 if len(s):
-                    key[i] = vec.mix(s ^ vec.U64(0x6A09E667F3BCC909)).sum(), vec.mix(s ^ vec.U64(0xBB67AE8584CAA73B)).sum()
+                    key[i] = _set_key(s)
                     best[i] = _minima(s)
                     bucket = (vec.mix(s ^ vec.U64(0x3C6EF372FE94F82B)) % vec.U64(_PARITY)).astype(np.int64)
                     parity[i] = np.packbits((np.bincount(bucket, minlength=_PARITY) & 1).astype(bool))
@@ -206,8 +211,8 @@ def _neighbours(batches):
 
 
 def _sorted(classes: DataFrame) -> DataFrame:
-    """The orders of classes (id, keys, sketch), dealt by range."""
-    rows = classes.select("id", F.xxhash64("id").alias("salt"), "keys", "sketch")
+    """The orders of classes (id, k2, keys, sketch), dealt by range."""
+    rows = classes.select("id", F.col("k2").alias("salt"), "keys", "sketch")
     trees = map_arrow(rows, _orders, "tree int, key binary, salt long, id long, sketch binary")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return trees.repartitionByRange(parts, "tree", "key", "salt").sortWithinPartitions("tree", "key", "salt")
@@ -345,45 +350,47 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select("a").union(pairs.select("b")).distinct()
 
 
-def _slot(c: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit(29), c), F.lit(_SLOTS))
-
+def _sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(id, s): the full sets, as hashes, of wanted classes (id, low, k1, k2), from the documents of smallest doc_id."""
+    held = documents.sparkSession.sparkContext.broadcast(Bits(wanted, F.xxhash64("low")))
 
-def _sets_of(documents: DataFrame, ends: DataFrame, k: int) -> DataFrame:
-    """(id, s): the full sets of the documents in ends (a), as hashes.
+    def maybe(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = np.zeros(batch.num_rows, dtype=bool)
+        keep[held.value(batch.column("h").to_numpy().view(np.uint64))] = True
+        return batch.filter(pa.array(keep)).select(["low", "text"])
 
-    A bit table of fixed size (``_SLOTS`` bits, 2 MB) tells most other documents away before
-    their texts are touched, so only sets that are wanted are shuffled; the join decides.
-    """
-    bits = ends.select(_slot("a").alias("slot")).select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1L, CAST(slot & 31 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^19 rows at most
-    table = np.zeros(_SLOTS // 32, dtype=np.uint32)
-    table[bits["word"].to_numpy()] = bits["bits"].to_numpy().astype(np.uint32)
-    wanted = documents.sparkSession.sparkContext.broadcast(table)
-
-    def work(batch: pa.RecordBatch):
-        slot = batch.column("slot").to_numpy()
-        keep = pa.array((wanted.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1)
-        batch = batch.filter(keep)
+    def sets(batch: pa.RecordBatch):
         for lo, hi, data, offsets in vec.slices(batch.column("text")):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([s.tobytes() for s in shingle_sets(data, offsets, k)], pa.binary())], ["id", "s"])
+            found = shingle_sets(data, offsets, k)
+            key = np.array([_set_key(s) if len(s) else (0, 0) for s in found], dtype=vec.U64).view(np.int64).reshape(-1, 2)
+            same = (key[:, 0] == batch.column("k1").slice(lo, hi - lo).to_numpy()) & (key[:, 1] == batch.column("k2").slice(lo, hi - lo).to_numpy())
+            own = np.flatnonzero(same)  # another text of the same doc_id belongs to another class
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo).take(pa.array(own)), pa.array([found[i].tobytes() for i in own.tolist()], pa.binary())], ["id", "s"])
 
-    rows = documents.where("doc_id is not null").select("doc_id", "text", _slot("doc_id").alias("slot"))
-    return map_arrow(rows, work, "id long, s binary").dropDuplicates(["id"]).join(ends.toDF("id"), "id", "left_semi")
+    rows = map_arrow(documents.where("doc_id is not null").select(F.col("doc_id").alias("low"), "text", F.xxhash64("doc_id").alias("h")), maybe, "low long, text string")
+    met = rows.join(wanted.select("id", "low", "k1", "k2"), "low")
+    return map_arrow(met, sets, "id long, s binary").dropDuplicates(["id"])
 
 
 def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row; doc_id must be an integer."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stash(sign(documents, k), "signed")
+    signed = stash(sign(documents, k).withColumn("row", F.monotonically_increasing_id()), "signed")  # row numbers hold once they are written
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stash(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
-    only = full.join(classes, ["k1", "k2"]).where("doc_id = id").select("id", "keys", "sketch", "parity")
-    found = stash(_sorted(only).mapInArrow(_neighbours, _PAIR).groupBy("a", "b").agg(F.min("miss").alias("miss")), "pairs")
+    names = stash(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.min_by("row", "doc_id").alias("id")), "classes")
+    classes = full.withColumnRenamed("row", "id").join(names.select("id"), "id", "left_semi").select("id", "k2", "keys", "sketch", "parity")
+    found = stash(_sorted(classes).mapInArrow(_neighbours, _PAIR).groupBy("a", "b").agg(F.min("miss").alias("miss")), "pairs")
     pairs, dense = found.where("a <> b"), found.where("miss < 0").select(F.col("a").alias("id")).distinct()
-    held = stash(_sets_of(documents, _ends(pairs), k), "sets")
+    held = stash(_sets_of(documents, stash(names.join(_ends(pairs).toDF("id"), "id", "left_semi"), "wanted"), k), "sets")
     both = pairs.select("a", "b", "miss", F.col("a").alias("of")).union(pairs.select("a", "b", "miss", F.col("b").alias("of")))
     first = both.groupBy("of").agg(F.min(F.struct("miss", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    links = stash(_confirm(first, held, percent), "links")
+    links = _confirm(first, held, percent)
+    several = full.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where("x <> y")
+    several = stash(several.select("doc_id"), "several")
+    if not several.isEmpty():  # texts of one doc_id
+        own = full.join(several, "doc_id", "left_semi").select("doc_id", "k1", "k2").distinct().join(names, ["k1", "k2"]).select("doc_id", "id")
+        links = links.union(own.join(own.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("a <> id").select("a", F.col("id").alias("b")))
+    links = stash(links, "links")
     labels = components(links)
     la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
     rest = pairs.join(la, "a", "left").join(lb, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").join(first, ["a", "b"], "left_anti")
@@ -392,16 +399,18 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT
         links = links.union(more)
         labels = components(links)
     if not dense.isEmpty():
-        missing = dense.select(F.col("id").alias("a")).join(held.select(F.col("id").alias("a")), "a", "left_anti")
+        missing = stash(names.join(dense.join(held.select("id"), "id", "left_anti"), "id", "left_semi"), "wanted")
         if not missing.isEmpty():
             held = held.union(stash(_sets_of(documents, missing, k), "sets"))
-        marked = only.select("id", "parity").join(dense, "id", "left_semi").join(labels.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        marked = classes.select("id", "parity").join(dense, "id", "left_semi").join(labels.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         others = stash(_exact(stash(marked.join(held, "id"), "marked"), percent), "pairs")
         others = others.join(pairs, ["a", "b"], "left_anti")
         more = stash(_confirm(others, held, percent), "links")
         if not more.isEmpty():
             labels = components(links.union(more))
-    of_class = classes.join(labels.toDF("id", "label"), "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("component"))
+    labels = labels.toDF("id", "label")
+    smallest = labels.join(names, "id").groupBy("label").agg(F.min("low").alias("component"))
+    of_class = names.join(labels.join(smallest, "label"), "id", "left").select("k1", "k2", F.coalesce("component", "low").alias("component"))
     joined = signed.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

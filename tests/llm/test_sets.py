@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from tessera.llm import bits
 from tessera.llm import op05_decontaminate as dec
 from tessera.llm import op06_substring as sub
 from tessera.llm import op07_near as near
@@ -58,6 +59,25 @@ def test_keep_one_keeps_all_columns(docs, rows):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(r[0] for r in rows if r[0] is not None and want[r[0]][1] == r[0])
 
 
+def test_repeated_rows_and_texts_of_one_id(spark):
+    """Rows repeated more often than a window is long, and ids with several texts, which link them."""
+    draw = random.Random(8)
+    texts = [" ".join(draw.choices([f"w{i}" for i in range(300)], k=40)) for _ in range(30)]
+    near_copy = lambda t: " ".join([*t.split()[:-1], "end"])
+    rows = [(10, texts[0])] * 200 + [(11, near_copy(texts[0]))] * 150 + [(20, texts[1]), (20, texts[2]), (20, ""), (21, near_copy(texts[1])), (22, near_copy(texts[2])), (23, texts[3]), (24, texts[4])]
+    rows += [(30, texts[5]), (30, texts[6]), (30, texts[7]), (29, texts[7]), (31, near_copy(texts[6])), (40, texts[8])]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 2).collect()}
+    want = {10: 10, 11: 10, 20: 20, 21: 20, 22: 20, 23: 23, 24: 24, 29: 29, 30: 29, 31: 29, 40: 40}
+    assert all(c == want[i] for (i, n), c in got.items()) and {i for i, _ in got} == set(want)
+
+
+def test_few_bits_lose_no_set(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(bits, "LEAST_BITS", 6)
+    monkeypatch.setattr(bits, "MOST_BITS", 6)
+    want = plain_components(rows, 2)
+    assert all(r.doc_id is None or (r.n_shingles, r.component_id) == want[r.doc_id] for r in near.near_duplicates(docs, 2).collect())
+
+
 def test_a_large_group_is_one_component(spark):
     base = [f"w{i}" for i in range(100)]
     texts = [(i, " ".join(base[: i % 100] + [f"x{i}"] + base[i % 100 :])) for i in range(400)]
@@ -232,11 +252,11 @@ def plain_hits(rows, items, size):
     return out
 
 
-@pytest.mark.parametrize("bits", [27, 3])
-def test_decontamination(spark, docs, rows, bits, monkeypatch):
+@pytest.mark.parametrize("most", [27, 3])
+def test_decontamination(spark, docs, rows, most, monkeypatch):
     """With few bits nearly every word is a candidate; the join decides the same."""
-    monkeypatch.setattr(dec, "LEAST_BITS", min(bits, 20))
-    monkeypatch.setattr(dec, "MOST_BITS", max(bits, 6))
+    monkeypatch.setattr(bits, "LEAST_BITS", min(most, 20))
+    monkeypatch.setattr(bits, "MOST_BITS", max(most, 6))
     text = words(rows[5][1])
     items = [("1", " ".join(text[-30:])), ("2", "The THING"), ("3", None), (None, "house river"), ("10", ""), ("4", " ".join(words(rows[0][1])[:11]).upper()), ("1", "文章"), ("20", "no such words at all in any of these texts, none"), ("x,y", "the water"), ("x", "thing the"), ("é", "the thing")]
     bench = spark.createDataFrame([(i, t, "x", 5) for i, t in items], "item_id string, text string, hits string, k1 int")
