@@ -53,8 +53,9 @@ def statistics(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", "lang", "source", text.alias("text"))
     rows = rows.withColumn("words", F.filter(F.split("text", _BLANK + "+"), lambda w: w != ""))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    windows = F.expr("transform(sequence(0, size(words) - 3), i -> struct(xxhash64(words[i], words[i + 1], words[i + 2]) as h, i as i))")
-    rows = rows.withColumn("s", F.when(F.col("n_words") >= 3, F.sort_array(windows)))
+    rows = rows.withColumn("h", F.when(F.col("n_words") >= 3, F.expr("transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2]))")))
+    placed = F.expr("sort_array(transform(h, (x, i) -> struct(x as h, i as i)))")
+    rows = rows.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), placed))  # most texts repeat nothing, and need no sort
     again = F.expr("sort_array(transform(filter(s, (x, k) -> (k > 0 and s[k - 1].h = x.h) or (k + 1 < size(s) and s[k + 1].h = x.h)), x -> x.i))")
     rows = rows.withColumn("at", again)
     covered = F.expr("aggregate(at, named_struct('n', 0L, 'e', -1), (a, i) -> named_struct('n', a.n + least(3, i + 2 - a.e), 'e', i + 2)).n")
@@ -65,7 +66,7 @@ def statistics(documents: DataFrame) -> DataFrame:
         "lang",
         "source",
         "n_words",
-        F.length(F.regexp_replace("text", _BLANK + "+", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
@@ -108,7 +109,7 @@ FAR = quantile(1 - 1e-4)
 _PAIRS = [(i, j) for i in range(_DIM) for j in range(i + 1)]
 _GROUP = ["g_lang", "g_source"]
 _KEY = [*_GROUP, "start"]
-_FACTOR = [f"l{i}_{j}" for i, j in _PAIRS]
+_FACTOR = [f"k{i}_{j}" for i, j in _PAIRS]
 _ESTIMATE = [*_names("m"), *_FACTOR]
 
 
@@ -117,20 +118,24 @@ def _covariances(of: Callable[[int], Column]) -> list[Column]:
 
 
 def _factor(of: DataFrame, scale: float = 1.0) -> DataFrame:
-    """Adds the lower factor l of each group's scaled covariance, variances raised to the least ones, and the logarithm of its determinant."""
+    """Adds the inverse k of the lower factor l of each group's scaled covariance, variances raised to the least ones, and the logarithm of the determinant."""
     of = of.withColumns({f"c{i}_{j}": F.greatest(F.col(f"c{i}_{j}") * scale, F.lit(FLOOR[i] ** 2)) if i == j else F.col(f"c{i}_{j}") * scale for i, j in _PAIRS})
     for i, j in _PAIRS:
         rest = reduce(lambda a, k: a - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}"), range(j), F.col(f"c{i}_{j}"))
         of = of.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-3 * FLOOR[i] ** 2))) if i == j else rest / F.col(f"l{j}_{j}"))
-    return of.drop(*(f"c{i}_{j}" for i, j in _PAIRS)).withColumn("logdet", reduce(lambda a, i: a + 2 * F.log(f"l{i}_{i}"), range(_DIM), F.lit(0.0)))
+    for i in range(_DIM):
+        for j in range(i, -1, -1):
+            rest = reduce(lambda a, k: a - F.col(f"l{i}_{k}") * F.col(f"k{k}_{j}"), range(j, i), F.lit(1.0 if i == j else 0.0))
+            of = of.withColumn(f"k{i}_{j}", rest / F.col(f"l{i}_{i}"))
+    of = of.withColumn("logdet", reduce(lambda a, i: a + 2 * F.log(f"l{i}_{i}"), range(_DIM), F.lit(0.0)))
+    return of.drop(*(f"{x}{i}_{j}" for x in "cl" for i, j in _PAIRS))
 
 
 def _distance(rows: DataFrame) -> DataFrame:
-    """Adds the squared Mahalanobis distance d by forward substitution."""
-    for i in range(_DIM):
-        rest = reduce(lambda a, k: a - F.col(f"l{i}_{k}") * F.col(f"z{k}"), range(i), F.col(f"x{i}") - F.col(f"m{i}"))
-        rows = rows.withColumn(f"z{i}", rest / F.col(f"l{i}_{i}"))
-    return rows.withColumn("d", reduce(lambda a, k: a + F.col(f"z{k}") * F.col(f"z{k}"), range(1, _DIM), F.col("z0") * F.col("z0"))).drop(*_names("z"))
+    """Adds the squared Mahalanobis distance d, a sum of squares that does not grow with rewriting."""
+    u = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(_DIM)]
+    z = [reduce(lambda a, j: a + F.col(f"k{i}_{j}") * u[j], range(1, i + 1), F.col(f"k{i}_0") * u[0]) for i in range(_DIM)]
+    return rows.withColumn("d", reduce(lambda a, x: a + F.pow(x, F.lit(2.0)), z, F.lit(0.0)))
 
 
 def _with(rows: DataFrame, of_group: DataFrame) -> DataFrame:
@@ -140,7 +145,7 @@ def _with(rows: DataFrame, of_group: DataFrame) -> DataFrame:
 
 
 def starts(rows: DataFrame) -> DataFrame:
-    """Four centres and factors to begin from for each group (g_lang, g_source, start, m, l).
+    """Four centres and factors to begin from for each group (g_lang, g_source, start, m, k).
 
     0: means and covariance; 1: medians and deviations from them; 2: medians and the covariance of
     spatial signs; 3: medians and that of squashed scores.  From each, concentration goes downhill
@@ -167,7 +172,12 @@ def starts(rows: DataFrame) -> DataFrame:
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"x{i}").alias(f"m{i}") for i in range(_DIM)), *_covariances(lambda i: F.col(f"x{i}")))
+    """Mean and covariance of each group of rows that carry an estimate, from sums of differences to its centre."""
+    u = {i: F.col(f"x{i}") - F.col(f"m{i}") for i in range(_DIM)}
+    sums = [F.count(F.lit(1)).alias("n"), *(F.first(f"m{i}").alias(f"o{i}") for i in u), *(F.sum(c).alias(f"u{i}") for i, c in u.items()), *(F.sum(u[i] * u[j]).alias(f"w{i}_{j}") for i, j in _PAIRS)]
+    out = rows.groupBy(*_KEY).agg(*sums)
+    means = [(F.col(f"o{i}") + F.col(f"u{i}") / F.col("n")).alias(f"m{i}") for i in u]
+    return out.select(*_KEY, "n", *means, *((F.col(f"w{i}_{j}") / F.col("n") - F.col(f"u{i}") * F.col(f"u{j}") / F.col("n") / F.col("n")).alias(f"c{i}_{j}") for i, j in _PAIRS))
 
 
 def concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -182,7 +192,7 @@ def concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def determinants(rows: DataFrame) -> DataFrame:
-    """The minimum-covariance-determinant estimate of each group (g_lang, g_source, start, n, m, l, logdet) of rows (x, g_lang, g_source, salt).
+    """The minimum-covariance-determinant estimate of each group (g_lang, g_source, start, n, m, k, logdet) of rows (x, g_lang, g_source, salt).
 
     All starts are concentrated ``TRIES`` times; the one of least determinant goes on until no group's
     determinant falls by more than ``SETTLED`` of itself, ``MOST_STEPS`` times at most.
@@ -205,7 +215,7 @@ def robust(rows: DataFrame) -> DataFrame:
     """The estimates made consistent, and reweighted: mean and covariance of all points within the ``WITHIN`` quantile of the scaled estimate."""
     raw = determinants(rows)
     wide = math.sqrt(consistency(SHARE))
-    raw = raw.select(*_KEY, *_names("m"), *((F.col(c) * wide).alias(c) for c in _FACTOR))
+    raw = raw.select(*_KEY, *_names("m"), *((F.col(c) / wide).alias(c) for c in _FACTOR))
     inside = _distance(_with(rows, raw)).where(F.col("d") <= quantile(WITHIN))
     return stash(_factor(_moments(inside), consistency(WITHIN)), "mcd")
 
@@ -218,6 +228,7 @@ def outliers(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     judged = rows.where(~F.col("base_failed"))
     everyone = F.struct(F.lit("*").alias("g_lang"), F.lit("*").alias("g_source"))
     points = judged.select("salt", *_names("x"), F.explode(F.array(F.struct(*_GROUP), everyone)).alias("g")).select("salt", *_names("x"), "g.*")
+    points = stash(points, "points")
     sizes = points.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("size"))
     found = robust(points).join(sizes, _GROUP).select(*_GROUP, "size", F.struct(*_ESTIMATE).alias("e"))
     overall = found.where("g_lang = '*'").select(F.col("e").alias("o"))  # one row

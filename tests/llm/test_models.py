@@ -78,7 +78,8 @@ def test_determinants_are_the_least(spark):
         assert abs(r.n - np.ceil(qual.SHARE * len(x))) <= 2 and r.logdet <= logdet + 0.02
         factor = np.zeros((5, 5))
         for i, j in qual._PAIRS:
-            factor[i, j] = r[f"l{i}_{j}"]
+            factor[i, j] = r[f"k{i}_{j}"]
+        factor = np.linalg.inv(factor)
         apart = np.array([r[f"m{i}"] for i in range(5)]) - mean  # nearly equal determinants may belong to other subsets
         assert apart @ np.linalg.inv(cov) @ apart < 0.03 and np.allclose(factor @ factor.T, cov, atol=0.25 * np.abs(cov).max())
     for r in qual.robust(points).collect():
@@ -88,7 +89,8 @@ def test_determinants_are_the_least(spark):
         inside = x[d <= qual.quantile(qual.WITHIN)]
         factor = np.zeros((5, 5))
         for i, j in qual._PAIRS:
-            factor[i, j] = r[f"l{i}_{j}"]
+            factor[i, j] = r[f"k{i}_{j}"]
+        factor = np.linalg.inv(factor)
         want = np.cov(inside.T, bias=True) * qual.consistency(qual.WITHIN)
         assert np.allclose(factor @ factor.T, want, atol=0.2 * np.abs(want).max())
 
