@@ -125,6 +125,17 @@ def sorted_name(x: str) -> str:
     return f"array_to_string(list_sort({tokens(x)}), ' ')"
 
 
+def partial(rows: str, a: str, b: str, name: str) -> str:
+    """(s1_id, t_id, name): the best indel similarity, 0 to 1, of the shorter string with any window of the longer; every window is a row."""
+    return f"""WITH sides AS (SELECT s1_id, t_id, CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END AS x, CASE WHEN length({a}) <= length({b}) THEN {b} ELSE {a} END AS y FROM {rows}),
+tried AS (SELECT DISTINCT x, y FROM (SELECT x, y FROM sides UNION ALL SELECT y, x FROM sides WHERE length(x) = length(y)) WHERE x <> '' AND x <> y),
+windows AS (SELECT DISTINCT x, y, substr(y, greatest(i, 1), i + length(x) - greatest(i, 1)) AS w FROM (SELECT x, y, unnest(range(2 - length(x), length(y) + 1)) AS i FROM tried)),
+found AS MATERIALIZED (SELECT x, w, {indel('x', 'w')} AS v FROM (SELECT DISTINCT x, w FROM windows)),
+best AS (SELECT x, y, max(v) AS v FROM windows JOIN found USING (x, w) GROUP BY x, y)
+SELECT s1_id, t_id, CASE WHEN sides.x = sides.y THEN 1.0 WHEN sides.x = '' THEN 0.0 ELSE greatest(one.v, coalesce(two.v, 0.0)) END AS {name}
+FROM sides LEFT JOIN best one ON one.x = sides.x AND one.y = sides.y LEFT JOIN best two ON two.x = sides.y AND two.y = sides.x"""
+
+
 def entities(source: str) -> str:
     return (
         f"SELECT entity_id AS id, ord, k, {country('country')} AS country, norm_name, {base('norm_name')} AS base_name, {address('business_address')} AS norm_addr, "

@@ -198,7 +198,7 @@ def token_set_ratio_pairs(spark, d):
     return _pairs(spark, d).select("s1_id", "t_id", F.round(sim.fuzzy("s_norm_name", "t_norm_name")["set"], 9).alias("score"))
 
 
-@query()
+@query(f"WITH {o.pairs(6)}, made AS ({o.partial('pairs', 's_norm_name', 't_norm_name', 'v')}) SELECT s1_id, t_id, round(CAST(v AS DOUBLE), 9) AS score FROM made")
 def partial_ratio_pairs(spark, d):
     return _pairs(spark, d).select("s1_id", "t_id", F.round(sim.fuzzy("s_norm_name", "t_norm_name")["partial"], 9).alias("score"))
 
@@ -373,9 +373,17 @@ def features_fuzzy(spark, d):
     return features.features(_pairs(spark, d)).select("s1_id", "t_id", *(F.round(n, 9).alias(n) for n in names))
 
 
-@query()
+def _partial_sql() -> str:
+    own = {k: o.partial("pairs", f"s_norm_{k}", f"t_norm_{k}", "v") for k in ("name", "addr")}
+    return f"""WITH {o.pairs(6)}, n AS ({own['name']}), a AS ({own['addr']})
+SELECT s1_id, t_id, cand_rank, s1_ord, round(CAST(n.v AS DOUBLE), 9) AS name_partial_ratio, round(CAST(CASE WHEN s_norm_addr <> '' AND t_norm_addr <> '' THEN a.v ELSE 0.0 END AS DOUBLE), 9) AS addr_partial_ratio
+FROM pairs JOIN n USING (s1_id, t_id) JOIN a USING (s1_id, t_id)"""
+
+
+@query("SELECT * FROM " + " JOIN ".join(f"({sql}) x{i}" + (" USING (s1_id, t_id)" if i else "") for i, sql in enumerate((_partial_sql(), _name_sql(False), _addr_sql(False), _post_sql(False), _fuzzy_sql()))))
 def features_all(spark, d):
-    return features.features(_pairs(spark, d))
+    out = features.features(_pairs(spark, d))
+    return out.select("s1_id", "t_id", "cand_rank", "s1_ord", *(F.round(n, 9).alias(n) for n in features.NAMES))
 
 
 # -- scores and decisions ---------------------------------------------------------------------

@@ -50,7 +50,10 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 
 
 def stream_tsv(spark: SparkSession, path: str, schema: T.StructType = RECORD, files_per_batch: int = 1) -> DataFrame:
-    """The same files as a stream, some files at a time."""
+    """The same files as a stream, some files at a time; a folder that already has a file without tabs in its header is refused."""
+    line = first_line(spark, path) if exists(spark, path) else None
+    if line is not None and "\t" not in line:
+        raise ValueError(f"{path}: the header has no tab; the file is malformed")
     return spark.readStream.schema(schema).option("sep", "\t").option("header", True).option("quote", "").option("maxFilesPerTrigger", files_per_batch).csv(path)
 
 

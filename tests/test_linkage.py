@@ -281,6 +281,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "bad.tsv").write_text("entity_id,x\n1,2\n")
     with pytest.raises(ValueError):
         tsv.read_tsv(spark, str(tmp_path / "bad.tsv"))
+    with pytest.raises(ValueError):
+        tsv.stream_tsv(spark, str(tmp_path / "bad.tsv"))
+    assert tsv.stream_tsv(spark, str(src)).isStreaming
     (tmp_path / "t.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1, S3-2,,S2-1\nS1-2\t\n \tx\nS1-1\tS2-9\n")
     assert {r.s1_id: r.matched for r in tsv.read_truth(spark, str(tmp_path / "t.tsv")).collect()} == {"S1-1": ["S2-9"], "S1-2": []}
     assert sorted(r.entity_id for r in tsv.read_ids(spark, str(src)).collect()) == ["S1-1", "S1-2"]
