@@ -56,7 +56,7 @@ _MISMATCHES = 37
 _FEW, _BEST = 5, 3
 _PARITY = 1024
 #: Slots of the table that orders the shingles of marked classes; classes in a block.
-_COUNTS, _BLOCK = 1 << 19, 1024
+_COUNTS, _BLOCK = 1 << 19, 2048
 _PAIR = "a long, b long, miss int"
 
 
@@ -233,10 +233,11 @@ def _slot_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n[slot])], ["slot", "n"])
 
 
-def _first_shingles(counts, percent: int):
+def _first_shingles(counts, percent: int, wanted=None):
     """(token, place, n, id, label, parity) of each set's first shingles in the order of counts; without parity if the rows have none.
 
     Sets of similarity p share p of the larger one at least, hence one of its first n - pn + 1.
+    ``wanted`` are bits of the tokens that are asked for, if not all.
     """
 
     def work(batch: pa.RecordBatch):
@@ -249,6 +250,9 @@ def _first_shingles(counts, percent: int):
         place = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size)
         keep = place <= (size * (100 - percent) // 100)[of]
         of, token, place = of[keep], s[order][keep], place[keep]
+        if wanted is not None:
+            keep = wanted.value(token)
+            of, token, place = of[keep], token[keep], place[keep]
         names = [c for c in ("id", "label", "parity") if c in batch.schema.names]
         yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(place), pa.array(size[of]), *(batch.column(c).take(pa.array(of)) for c in names)], ["token", "place", "n", *names])
 
@@ -314,7 +318,8 @@ def _exact(sets: DataFrame, percent: int) -> DataFrame:
     first = _first_shingles(counts, percent)
     mixed = map_arrow(sets.select("id", "label", "s"), first, "token long, place long, n long, id long, label long").groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("least"), F.max("label").alias("most"), F.max(F.expr(f"(n - place) * {100 + percent} >= {2 * percent} * n")).alias("early"))
     mixed = stash(mixed.where("least <> most and early").select("token", F.ceil(F.col("many") / _BLOCK).cast("int").alias("blocks")), "tokens")
-    rows = map_arrow(sets.select("id", "label", "s", "parity"), first, "token long, place long, n long, id long, label long, parity binary").join(mixed, "token")
+    asked = sets.sparkSession.sparkContext.broadcast(Bits(mixed, F.col("token")))
+    rows = map_arrow(sets.select("id", "label", "s", "parity"), _first_shingles(counts, percent, asked), "token long, place long, n long, id long, label long, parity binary").join(mixed, "token")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(31)), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "n", "place", "id", "label", "parity")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
