@@ -24,8 +24,8 @@ Shingles of one component alone, or too late for the smaller set of any pair, ar
 pairs of blocks, so no task holds more than two blocks of one shingle.
 
 Orders are dealt by range over (tree, key, set key): equal keys of a large group spread over
-partitions.  Full sets are made only of documents that stand for a class with candidates: a bit table
-of bounded size turns most others away, and a join decides before any set is made.
+partitions.  Full sets are made of documents that stand for a class with candidates: a bit table of
+bounded size turns most others away before their texts are touched, and a join decides.
 
 Defined results: a text without words (or null) has an empty set, is linked with nothing and kept;
 fewer words than a shingle make the whole sequence the one shingle; all rows with words of one doc_id
@@ -359,22 +359,15 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(id, s): the full sets, as hashes, of wanted classes (id, low, k1, k2), from the documents of smallest doc_id."""
     held = documents.sparkSession.sparkContext.broadcast(Bits(wanted, F.xxhash64("low")))
 
-    def maybe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = np.zeros(batch.num_rows, dtype=bool)
-        keep[held.value(batch.column("h").to_numpy().view(np.uint64))] = True
-        return batch.filter(pa.array(keep)).select(["low", "text"])
-
-    def sets(batch: pa.RecordBatch):
-        for lo, hi, data, offsets in vec.slices(batch.column("text")):
-            found = shingle_sets(data, offsets, k)
-            key = np.array([_set_key(s) if len(s) else (0, 0) for s in found], dtype=vec.U64).view(np.int64).reshape(-1, 2)
-            same = (key[:, 0] == batch.column("k1").slice(lo, hi - lo).to_numpy()) & (key[:, 1] == batch.column("k2").slice(lo, hi - lo).to_numpy())
-            own = np.flatnonzero(same)  # another text of the same doc_id belongs to another class
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo).take(pa.array(own)), pa.array([found[i].tobytes() for i in own.tolist()], pa.binary())], ["id", "s"])
+    def work(batch: pa.RecordBatch):
+        batch = batch.take(pa.array(held.value(batch.column("h").to_numpy().view(np.uint64))))
+        for _, _, data, offsets in vec.slices(batch.column("text")):
+            found = [s for s in shingle_sets(data, offsets, k) if len(s)]
+            key = np.array([_set_key(s) for s in found], dtype=vec.U64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([s.tobytes() for s in found], pa.binary())], ["k1", "k2", "s"])
 
-    rows = map_arrow(documents.where("doc_id is not null").select(F.col("doc_id").alias("low"), "text", F.xxhash64("doc_id").alias("h")), maybe, "low long, text string")
-    met = rows.join(wanted.select("id", "low", "k1", "k2"), "low")
-    return map_arrow(met, sets, "id long, s binary").dropDuplicates(["id"])
+    rows = map_arrow(documents.where("doc_id is not null").select("text", F.xxhash64("doc_id").alias("h")), work, "k1 long, k2 long, s binary")
+    return rows.dropDuplicates(["k1", "k2"]).join(wanted.select("id", "k1", "k2"), ["k1", "k2"]).select("id", "s")
 
 
 def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -390,7 +383,7 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, percent: int = PERCENT
     both = pairs.select("a", "b", "miss", F.col("a").alias("of")).union(pairs.select("a", "b", "miss", F.col("b").alias("of")))
     first = both.groupBy("of").agg(F.min(F.struct("miss", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
     links = _confirm(first, held, percent)
-    several = full.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where("x <> y")
+    several = full.groupBy("doc_id").agg(*(f(c).alias(f"{n}_{c}") for c in ("k1", "k2") for n, f in (("low", F.min), ("high", F.max)))).where("low_k1 <> high_k1 or low_k2 <> high_k2")
     several = stash(several.select("doc_id"), "several")
     if not several.isEmpty():  # texts of one doc_id
         own = full.join(several, "doc_id", "left_semi").select("doc_id", "k1", "k2").distinct().join(names, ["k1", "k2"]).select("doc_id", "id")
