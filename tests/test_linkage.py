@@ -415,3 +415,14 @@ def test_hybrid_of_entities_that_share_an_id(spark, tmp_path, name):
     d = big_keys(spark, tmp_path)
     rows = queries.QUERIES[name](spark, d)
     equals_sql(name, d, rows.select(*[c for c in rows.columns if c != "ord"]))
+
+
+def test_scores_of_entities_that_share_an_id(spark, tmp_path):
+    """Forty entities with four ids have the candidates that they have each for themselves."""
+    from tessera.plans import queries
+
+    d = big_keys(spark, tmp_path)
+    s1, targets = (linkage.entities(x.withColumn("entity_id", F.concat(F.substring("entity_id", 1, 3), "k")), "own") for x in world(spark, d))
+    want = linkage.candidate_pairs(s1, targets, 35).count()
+    got = queries.gbt_scores(spark, d)
+    assert got.count() == want > 0 and got.where(F.length("s1_id") != 9).count() == 0
