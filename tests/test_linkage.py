@@ -426,3 +426,35 @@ def test_scores_of_entities_that_share_an_id(spark, tmp_path):
     want = linkage.candidate_pairs(s1, targets, 35).count()
     got = queries.gbt_scores(spark, d)
     assert got.count() == want > 0 and got.where(F.length("s1_id") != 9).count() == 0
+
+
+def test_scores_are_of_the_production_model(spark, monkeypatch):
+    from tessera.plans import queries
+
+    fit, models = scoring.fit_trees, []
+    monkeypatch.setattr(scoring, "fit_trees", lambda *a, **k: models.append(fit(*a, **k)) or models[-1])
+    assert queries.gbt_scores(spark, SF).count() > 0
+    (model,) = models
+    wanted = scoring.PRODUCTION
+    assert model.getNumTrees == wanted["maxIter"] == 350 and {k: model.getOrDefault(k) for k in wanted} == wanted
+
+
+def test_trees_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    """One task or four, and the file order, make the same trees; they follow a rule that one feature cannot tell."""
+    from tessera.operators import boosting, features
+    from tessera.storage import stash
+
+    rnd = random.Random(3)
+    rows = []
+    for i in range(600):
+        x = [round(rnd.random(), 2) for _ in features.NAMES]
+        rows.append((f"S{i}", f"T{i}", int((x[0] > 0.5) != (x[40] > 0.3)), *x))
+    names = ", ".join(f"{n} double" for n in features.NAMES)
+    table = lambda r: stash(spark.createDataFrame(r, f"s1_id string, t_id string, label int, {names}"), "rows").withColumns({"cand_rank": F.lit(1), "s1_ord": F.lit(0)})
+    size = {"maxIter": 12, "stepSize": 0.5, "maxDepth": 4, "minInstancesPerNode": 5}
+    one = scoring.fit_trees(table(rows), **size)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 150)
+    four = scoring.fit_trees(table(rows[::-1]), **size)
+    assert one.toDebugString.split("\n")[1:] == four.toDebugString.split("\n")[1:] and max(t.depth for t in one.trees) == 4
+    scored = {r.s1_id: r.p for r in scoring.trees(table(rows), one).collect()}
+    assert sum((scored[r[0]] > 0.5) == (r[2] == 1) for r in rows) >= 588
