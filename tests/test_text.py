@@ -132,10 +132,10 @@ def test_scores_of_pairs_met_before_are_kept(monkeypatch):
         made.extend(zip(x, y, strict=True))
         return sim.ratios(x, y)
 
-    held = sim._Held(make, most=3, chars=8)
+    held = sim._Held(make, most=3, chars=10)
     batches = [(["ab", "ab", "cd"], ["ac", "ac", "cd"]), (["ab", "long one", "cd"], ["ac", "long two", "cd"]), (["long one", "ab", None], ["long two", "ac", "x"]), (["e", "f", "g", "ab"], ["h", "h", "h", "ac"])]
     for a, b in batches:
-        assert held(pd.Series(a), pd.Series(b)).tolist() == [sim.ratio(x or "", y or "") for x, y in zip(a, b)]
+        assert held(pd.Series(a), pd.Series(b)).ravel().tolist() == [sim.ratio(x or "", y or "") for x, y in zip(a, b)]
         assert len(held.new) <= 3 and len(held.old) <= 3
     assert made.count(("ab", "ac")) == 1 and made.count(("long one", "long two")) == 2
     monkeypatch.setattr(sim, "_best_window", None)  # equal strings need no windows
